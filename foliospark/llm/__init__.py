@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("copies", "pieces", "tokens")
+MODULES = ("copies", "pieces", "scans", "tokens")
 
 
 def _gather(what: str) -> dict:
