@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("copies", "pieces", "residue", "scans", "tokens")
+MODULES = ("copies", "leaks", "pieces", "residue", "scans", "tokens")
 
 
 def _gather(what: str) -> dict:
