@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("align", "copies", "leaks", "pairs", "pieces", "residue", "scans", "tokens")
+MODULES = ("align", "copies", "forms", "leaks", "pairs", "pieces", "residue", "scans", "tokens")
 
 
 def _gather(what: str) -> dict:
