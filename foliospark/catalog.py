@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark.catalog_sql import SQL
 from foliospark.functions.text import nn, squeeze
 from foliospark.operators import anchors, assemble, chunks, model, structure
 from foliospark.options import REFUSAL_PHRASES, Options
@@ -149,7 +150,7 @@ def paper_outline(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def assemble_paper(spark: SparkSession, sf: str) -> DataFrame:
-    made = assemble.paper(F.concat(F.lit("doc "), F.col("doc_id")), F.lit("# S\n- a\n- b"), F.col("md"), F.upper("md"))
+    made = assemble.paper(F.concat(F.lit("doc "), F.col("doc_id")), F.lit("# S\n- a\n- b"), F.col("md"), F.replace("md", F.lit("a"), F.lit("A")))
     return fixture(spark, sf).select("doc_id", made.alias("outline"))
 
 
@@ -282,7 +283,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from foliospark.catalog_sql import SQL
-
     return SQL
 

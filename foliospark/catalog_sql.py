@@ -1 +1,189 @@
-SQL: dict[str, str] = {}
+"""SQL for DuckDB that gives the rows of the core's queries, written from their meaning: by line tables and windows where
+the operators work on arrays."""
+
+from __future__ import annotations
+
+from foliospark.options import ANALYSIS_HEADINGS, EXCLUDED_SECTIONS, HINT_EXCLUDED, PROTECTED_SECTIONS, REFUSAL_PHRASES
+
+W = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]"
+TITLES = "['Introduction','References','Methods','Notes on contributors','Index terms']"
+MD = f"""base as (select doc_id, text, array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i:
+  CASE WHEN i = 1 THEN '# ' || x
+       WHEN (i-1) % 6 = 2 THEN '## ' || ({TITLES})[(doc_id+i-1) % 5 + 1]
+       WHEN (i-1) % 6 = 4 THEN chr(10) || '### ' || x
+       WHEN (i-1) % 6 = 5 THEN '  - ' || x
+       ELSE x END), chr(10)) as md0 from documents)"""
+PLAIN, SHIFT, H1 = "md0", "substr(replace(chr(10) || md0, chr(10) || '#', chr(10) || '##'), 2)", "replace(md0, chr(10) || '### ', chr(10) || '# ')"
+
+
+def strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{W}+|{W}+$', '', 'g')"
+
+
+def any_of(x: str, words) -> str:
+    return "(" + " or ".join(f"contains({x}, '{w}')" for w in words) + ")"
+
+
+def lines(md: str, dialect: str = "python") -> str:
+    """md and its lines: (doc_id, n, line, s, level, title); n from 0, s the stripped line."""
+    cut = r"string_split_regex(md, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]')" if dialect == "python" else "string_split(md, chr(10))"
+    drop = "where not (line = '' and n = last)" if dialect == "python" else ""
+    return f"""with {MD}, md as (select doc_id, text, {md} as md from base), parts as (select doc_id, {cut} as p from md),
+ln as (select doc_id, n, line, {strip("line")} as s from (select doc_id, unnest(p) as line, generate_subscripts(p, 1) - 1 as n, len(p) - 1 as last from parts) {drop}),
+hd as (select *, nullif(length(regexp_extract(s, '^(#{{1,10}}){W}', 1)), 0) as level, regexp_extract(s, '^#{{1,10}}{W}+(.*)', 1, 's') as title from ln)"""
+
+
+def back(column: str, name: str, ctes: str, source: str, by: str = "chr(10)", where: str = "true") -> str:
+    """One row per document: the column's lines joined in order, documents without a line give empty text."""
+    return f"""{ctes} select doc_id, coalesce(t, '') as {name} from md left join
+  (select doc_id, string_agg({column}, {by} order by n) as t from {source} where {where} group by doc_id) using (doc_id)"""
+
+
+# Sections: (g) the running number of excluded headings, the level of the last, and whether another heading ended it.
+SKIP = f""", ex as (select *, level is not null and {any_of("lower(title)", EXCLUDED_SECTIONS)} and not {any_of("lower(title)", PROTECTED_SECTIONS)} as x from hd),
+g as (select *, sum(x::int) over (partition by doc_id order by n) as g from ex),
+l0 as (select *, first_value(level) over (partition by doc_id, g order by n) as lvl from g),
+kp as (select *, g = 0 or (not x and max((not x and level is not null and level <= lvl)::int) over (partition by doc_id, g order by n) = 1) as keep from l0)"""
+KEPT = SKIP + f", kept as (select doc_id, coalesce({strip('string_agg(line, chr(10) order by n) filter (keep)')}, '') as md from kp group by doc_id)"
+
+
+def outlined(source: str, column: str, prefix: str = "o_") -> str:
+    """CTEs: the outline (doc_id, outline) of a text column of a source with doc_id."""
+    p = prefix
+    cut = rf"string_split_regex({column}, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]')"
+    return f""", {p}a as (select doc_id, {cut} as p from {source}),
+{p}b as (select doc_id, n, line from (select doc_id, unnest(p) as line, generate_subscripts(p, 1) - 1 as n from {p}a)),
+{p}c as (select *, nullif(length(regexp_extract(line, '^(#{{1,10}}){W}', 1)), 0) as fl from {p}b),
+{p}d as (select *, min(fl) over (partition by doc_id) as top from {p}c),
+{p}e as (select doc_id, n, case when fl is not null and top > 1 and top < 10 then repeat('#', (fl - top + 1)::int) || ' ' || {strip("regexp_replace(line, '^#{1,10}', '')")} else line end as line from {p}d),
+{p}f as (select *, {strip("line")} as s, nullif(length(regexp_extract({strip("line")}, '^(#{{1,10}}){W}', 1)), 0) as level from {p}e),
+{p}g as (select *, coalesce(last_value(level ignore nulls) over (partition by doc_id order by n rows between unbounded preceding and current row), 0) as cur,
+  length(line) - length(regexp_replace(line, '^{W}+', '')) as lead from {p}f where s <> ''),
+{p}h as (select doc_id, n, case when level is not null then repeat(' ', (2 * (level - 1))::int) || '- ' || regexp_extract(s, '^#{{1,10}}{W}+(.*)', 1, 's')
+  else repeat(' ', (2 * cur + lead)::int) || '- ' || regexp_replace(s, '^(?:[-*+]|[0-9]+\\.){W}+', '') end as line from {p}g),
+{p}o as (select d.doc_id, coalesce(t, '') as outline from {source} d left join (select doc_id, string_agg(line, chr(10) order by n) as t from {p}h group by doc_id) using (doc_id))"""
+
+
+def grouped(md: str, starts: str) -> str:
+    """CTEs: chunks (doc_id, chunk_no, chunk) that begin at lines where `starts` holds."""
+    return f"""{lines(md, "web")}, gr as (select *, sum((n > 0 and ({starts}))::int) over (partition by doc_id order by n) as c from hd),
+ch as (select doc_id, c::int as chunk_no, string_agg(line, chr(10) order by n) as chunk from gr group by doc_id, c)"""
+
+
+def packed(source: str, by: str, width: int, limit: int) -> str:
+    """Recursive packing of the parts of (id, t): (id, chunk_no, chunk)."""
+    return f""", pk_p as (select id, string_split(t, {by}) as p from {source}),
+pk as (select id, p, 1 as i, 0 as c, length(p[1]) + {width} as n from pk_p
+  union all select id, p, i + 1, case when n + length(p[i+1]) + {width} > {limit} then c + 1 else c end,
+  case when n + length(p[i+1]) + {width} > {limit} then length(p[i+1]) + {width} else n + length(p[i+1]) + {width} end from pk where i < len(p)),
+pk_o as (select id, c::int as chunk_no, string_agg(p[i], {by} order by i) as chunk from pk group by id, c)"""
+
+
+def hierarchy(limit: int) -> str:
+    """Levels two to four and paragraphs, each cutting only what is over the limit; `k` orders the chunks."""
+    out = f"with recursive {MD}, l1 as (select doc_id, [0] as k, md0 as t from base)"
+    for number, (mark, prior) in enumerate((("##", "l1"), ("###", "l2"), ("####", "l3"))):
+        name, every = f"l{number + 2}", "true" if number == 0 else f"length(t) > {limit}"
+        out += f""", {name}_n as (select doc_id, k, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) as n from {prior} where {every}),
+{name}_g as (select *, sum((n > 1 and starts_with(line, '{mark} '))::int) over (partition by doc_id, k order by n) as c from {name}_n),
+{name} as (select doc_id, list_append(k, c::int) as k, string_agg(line, chr(10) order by n) as t from {name}_g group by doc_id, k, c
+  union all select doc_id, list_append(k, 0), t from {prior} where not ({every}))"""
+    out += f", big as (select {{'d': doc_id, 'k': k}} as id, t from l4 where length(t) > {limit})" + packed("big", "chr(10) || chr(10)", 2, limit)
+    return out + f""", every as (select doc_id, list_append(k, 0) as k, t from l4 where length(t) <= {limit} union all select id.d, list_append(id.k, chunk_no), chunk from pk_o)
+select doc_id, (row_number() over (partition by doc_id order by k) - 1)::int as chunk_no, t as chunk from every"""
+
+
+FIXED = """with recursive docs as (select doc_id, coalesce(text, '') as t from documents),
+cut as (select doc_id, t, 0 as s, 0 as e, -1 as k from docs
+  union all select doc_id, t, e, case when e + 600 >= length(t) then length(t)
+    when instr(substr(t, e + 601), chr(10)) > 0 and instr(substr(t, e + 601), chr(10)) - 1 < 200 then e + 600 + instr(substr(t, e + 601), chr(10)) else e + 600 end, k + 1
+  from cut where e < length(t))
+select doc_id, k::int as chunk_no, substr(t, s + 1, e - s) as chunk from cut where k >= 0"""
+
+TOC = """with ln as (select doc_id, text, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i from documents where text is not null),
+en as (select doc_id, text, i, 'T' || i as title, case when i % 18 = 12 then 'zz' || x else substr(x, 1, 30) end as anchor from ln where i % 6 = 0 and length(x) > 12),
+ps as (select *, nullif(instr(lower(text), lower(anchor)) - 1, -1) as pos, length(text) as n, row_number() over (partition by doc_id order by i) - 1 as k from en),
+nx as (select *, coalesce(first_value(pos ignore nulls) over (partition by doc_id order by k rows between 1 following and unbounded following), n) as e from ps),
+st as (select *, coalesce(pos, lag(e) over (partition by doc_id order by k), 0) as s from nx)"""
+
+FUZZY = """with docs as (select doc_id, lower(text) as t, trim(lower(substr(text, (length(text) / 2)::int, 40)), ' ') as piece from documents where length(text) between 200 and 4000),
+an as (select doc_id, t, piece, substr(piece, 1, 12) || '~' || substr(piece, 14, 40) as anchor from
+  (select doc_id, t, trim(lower(substr(t0, (length(t0) // 2), 40)), ' ') as piece from (select doc_id, lower(text) as t, text as t0 from documents where length(text) between 200 and 4000))),
+""" + f"""a as (select doc_id, t, anchor, {strip("anchor")} as b from an),
+pos as (select doc_id, t, b, unnest(range(1, length(t) + 1)) as p from a),
+hit as (select doc_id, b, p - 1 as p, levenshtein(b, substr(t, p, length(b))) as d from pos where substr(t, p, 10) = substr(b, 1, 10)),
+best as (select doc_id, min({{'d': d, 'p': p}}) as m from hit where d <= (length(b) * 0.3)::int - case when (length(b) * 0.3)::int > length(b) * 0.3 then 1 else 0 end group by doc_id)
+select a.doc_id, a.anchor, case when b = '' then null when instr(t, b) > 0 then instr(t, b) - 1 when length(b) > 10 then m.p end::int as pos from a left join best using (doc_id)"""
+
+REFUSED = any_of("res_text", REFUSAL_PHRASES)
+HAS_TITLE = "starts_with(s0, '# ')"
+TITLED = f"""with {MD}, f as (select doc_id, text, md0, string_split(md0, chr(10))[1] as l0 from base), g as (select *, {strip("l0")} as s0 from f)"""
+CHAPTERS = grouped(PLAIN, "starts_with(line, '## ')")
+
+
+SQL: dict[str, str] = {
+    "heading_table": f"{lines(PLAIN)} select doc_id, n::int as line_no, level::int as level, {strip('title')} as title from hd where level is not null",
+    "heading_histogram": f"{lines(PLAIN)} select level::int as level, {strip('title')} as title, count(*) as n from hd where level = 2 group by all",
+    "extract_outline": back("s", "hint", lines(PLAIN), "hd", where=f"starts_with(s, '#') and not {any_of('s', ANALYSIS_HEADINGS)} and not {any_of('lower(s)', [w.lower() for w in HINT_EXCLUDED])}"),
+    "remove_sections": f"{lines(PLAIN)}{KEPT} select doc_id, coalesce(kept.md, '') as kept from md left join kept using (doc_id)",
+    "paper_outline": f"{lines(PLAIN)}{KEPT}{outlined('kept', 'md')} select doc_id, outline from o_o",
+    "normalize_headings": lines(SHIFT)
+    + f""", fl as (select *, nullif(length(regexp_extract(line, '^(#{{1,10}}){W}', 1)), 0) as f from hd), tp as (select *, min(f) over (partition by doc_id) as top from fl)
+select md.doc_id, case when max(top) > 1 and max(top) < 10 then string_agg(case when f is not null then repeat('#', (f - top + 1)::int) || ' ' || {strip("regexp_replace(line, '^#{1,10}', '')")} else line end, chr(10) order by n) else any_value(md.md) end as shifted
+from md left join tp using (doc_id) group by md.doc_id""",
+    "to_outline": f"with {MD}, src as (select doc_id, {SHIFT} as md from base){outlined('src', 'md')} select doc_id, outline from o_o",
+    "dedupe_h1": lines(H1, "web")
+    + """, h as (select *, starts_with(s, '# ') as h1, sum(starts_with(s, '# ')::int) over (partition by doc_id order by n) as k from hd)
+select doc_id, coalesce(string_agg(line, chr(10) order by n) filter (case when h1 then k = 1 else not (starts_with(lower(s), '## introduction') and n > 30) end), '') as cleaned from h group by doc_id""",
+    "strip_headings": lines(PLAIN, "web") + f" select doc_id, {strip('string_agg(case when starts_with(line, chr(35)) then substr(line, 1, 0) else line end, chr(10) order by n)')} as body from hd group by doc_id",
+    "squeeze": f"select doc_id, {strip(f'''regexp_replace(coalesce(text, ''), '{W}+', ' ', 'g')''')} as line from documents",
+    "title_and_body": f"""{TITLED} select doc_id, case when {HAS_TITLE} then replace(s0, '# ', '') else 'untitled' end as title,
+  {strip(f"case when {HAS_TITLE} then substr(md0, length(l0) + 2) else md0 end")} as body, substr(coalesce(text, ''), 1, 5000) as opening from g""",
+    "split_h2": f"{CHAPTERS} select * from ch",
+    "split_h3": f"{grouped(PLAIN, '''starts_with(line, '### ')''')} select * from ch",
+    "drop_heading_only": f"{CHAPTERS} select * from ch where not (trim(chunk, ' ' || chr(10) || chr(9)) = '' or list_bool_and(list_transform(string_split({strip('chunk')}, chr(10)), lambda x: starts_with({strip('x')}, '#'))))",
+    "pack_paragraphs": f"with recursive {MD}, src as (select doc_id as id, md0 as t from base){packed('src', 'chr(10) || chr(10)', 2, 600)} select id as doc_id, chunk_no, chunk from pk_o",
+    "pack_lines": f"""with recursive {MD}, src as (select doc_id as id, md0 as t from base where length(md0) > 600){packed('src', 'chr(10)', 1, 600)}
+select id as doc_id, chunk_no, chunk from pk_o union all select doc_id, 0, md0 from base where length(md0) <= 600""",
+    "hier_chunks": hierarchy(150),
+    "chunk_counts": f"with recursive {MD}, src as (select doc_id as id, md0 as t from base){packed('src', 'chr(10) || chr(10)', 2, 300)} select id as doc_id, count(*) as n_chunks, count(*) filter (where {strip('chunk')} = '') as n_blank from pk_o group by id",
+    "fixed_chunks": FIXED,
+    "anchor_split": f"{TOC} select doc_id, k::int as chapter_no, title, {strip('substr(text, (s + 1)::int, greatest(e - s, 0)::int)')} as text, s::int as start, e::int as \"end\" from st",
+    "fuzzy_anchor": FUZZY,
+    "toc_json": f"""{lines(PLAIN)}, k as (select doc_id, row_number() over (partition by doc_id order by n) - 1 as r, n, {strip("title")} as title from hd where level <= 2 and not {any_of("lower(title)", EXCLUDED_SECTIONS)})
+select doc_id, (row_number() over (partition by doc_id order by n) - 1)::int as entry_no, title as chapter_title, 'line ' || n as anchor_text from k""",
+    "web_toc_json": "select distinct chapter_id, chapter_no as chapter_number, title from chapters",
+    "refusal_filter": f"select call_id, case when length(res_text) < 500 and {REFUSED} then '' else coalesce(res_text, '') end as kept from (select distinct call_id, res_text from translation_chunks)",
+    "glossary_latest": "select file_name, updated_at, max(entry_id) as entry_id from glossary_sample g where updated_at = (select max(updated_at) from glossary_sample h where h.file_name = g.file_name) group by file_name, updated_at",
+    "glossary_compiled": f"select string_agg({strip('content')}, chr(10) order by -coalesce(updated_at, 0), file_name) as glossary from dictionary_files where content is not null",
+    "glossary_delete": "select file_name, updated_at from dictionary_files where file_name not like '%s.csv'",
+    "join_context": "select call_id, chunk_no, '{ctx} ' || paper_name || chr(10) || clean_markdown || chr(10) || 'term: 訳' as prompt from (select distinct call_id, paper_id, chunk_no, clean_markdown from translation_chunks) join paper_pipeline using (paper_id)",
+    "ordered_answers": """with l as (select *, row_number() over (partition by paper_id, chunk_no order by attempt desc, call_id desc) as r from translation_chunks where res_text is not null)
+select paper_id, string_agg(res_text, chr(10) || chr(10) order by chunk_no) as answer from l where r = 1 group by paper_id""",
+    "positional_join": f"""{CHAPTERS}, g3 as (select doc_id, sum((n > 0 and starts_with(line, '### '))::int) over (partition by doc_id order by n) as c, n, line from hd),
+c3 as (select doc_id, c::int as chunk_no, length(string_agg(line, chr(10) order by n))::int as n from g3 group by doc_id, c)
+select doc_id, chunk_no as chapter_no, 'C' || chunk_no as title, n from ch join c3 using (doc_id, chunk_no)""",
+    "joined_markdown": f"{CHAPTERS} select doc_id, string_agg(chunk, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by chunk_no) as markdown from ch group by doc_id",
+    "model_stub": f"select paper_id, {strip('''upper(replace(substr(structured_md, 1, 200), chr(10) || chr(10), ' '))''')} as answer from paper_pipeline where structured_md is not null",
+    "assemble_paper": f"""{TITLED}, body as (select doc_id, case when {HAS_TITLE} then replace(s0, '# ', '') else 'doc ' || doc_id end as title,
+  {strip(f"case when {HAS_TITLE} then substr(replace(md0, 'a', 'A'), length(l0) + 2) else replace(md0, 'a', 'A') end")} as md from g){outlined('body', 'md')}
+select doc_id, '- ' || title || chr(10) || '  - レジュメ (Resume)' || chr(10) || '    - S' || chr(10) || '      - a' || chr(10) || '      - b' || chr(10) ||
+  case when outline = '' then '' else '  ' || replace(outline, chr(10), chr(10) || '  ') end as outline from body join o_o using (doc_id)""",
+    "heading_chunks": f"""with recursive {MD}, nl as (select doc_id, unnest(string_split(md0, chr(10))) as line, generate_subscripts(string_split(md0, chr(10)), 1) as n from base),
+gr as (select *, sum((n > 1 and starts_with(ltrim(line, ' ' || chr(9)), '#'))::int) over (partition by doc_id order by n) as c from nl),
+hc as (select doc_id, c::int as c, string_agg(line, chr(10) order by n) as t from gr group by doc_id, c),
+src as (select {{'d': doc_id, 'c': c}} as id, t from hc where length(t) > 60){packed('src', 'chr(10)', 1, 60)},
+every as (select doc_id, c, 0 as k, t from hc where length(t) <= 60 union all select id.d, id.c, chunk_no, chunk from pk_o)
+select doc_id, (row_number() over (partition by doc_id order by c, k) - 1)::int as chunk_no, t as chunk from every""",
+    "chapters_h1": f"""{grouped(H1, "starts_with(line, '# ') and length(line) > 2")} select doc_id, chunk_no as c_no,
+  case when starts_with(chunk, '# ') and length({strip('string_split(chunk, chr(10))[1]')}) > 1 then {strip("substr(string_split(chunk, chr(10))[1], 3)")} else 'Section ' || (chunk_no + 1) end as title, {strip("chunk")} as text from ch""",
+    "assemble_book": f"""{CHAPTERS}, src as (select {{'d': doc_id, 'k': chunk_no}} as doc_id, {strip(f"case when starts_with({strip('string_split(chunk, chr(10))[1]')}, '# ') then substr(chunk, length(string_split(chunk, chr(10))[1]) + 2) else chunk end")} as md from ch){outlined('src', 'md')},
+nd as (select doc_id.d as id, doc_id.k as k, '  - C' || doc_id.k || chr(10) || '    - 章レジュメ' || chr(10) || case when doc_id.k % 2 = 0 then '      - s' else '' end || chr(10) || case when outline = '' then '' else '    ' || replace(outline, chr(10), chr(10) || '    ') end as node from o_o)
+select id as doc_id, '- book ' || id || chr(10) || '  - 全体レジュメ' || chr(10) || '    - all' || chr(10) || string_agg(node, chr(10) order by k) as outline from nd group by id""",
+    "assemble_web_book": f"""{CHAPTERS}, src as (select {{'d': doc_id, 'k': chunk_no}} as doc_id, case when chunk = '' then '(翻訳なし)' else chunk end as md from ch){outlined('src', 'md')},
+nd as (select doc_id.d as id, doc_id.k as k, '- C' || doc_id.k || chr(10) || '  - Summary' || chr(10) || case when doc_id.k % 2 = 0 then '    - s' else '    (要約なし)' end || chr(10) || '  - Translation / Body' || chr(10) || '    ' || replace(outline, chr(10), chr(10) || '    ') as node from o_o)
+select id as doc_id, '- Book Summary' || chr(10) || '  - all' || chr(10) || '  - of it' || chr(10) || string_agg(node, chr(10) order by k) as outline from nd group by id""",
+    "assemble_simple_book": f"""{CHAPTERS}, src as (select {{'d': doc_id, 'k': chunk_no}} as doc_id, chunk as md from ch){outlined('src', 'md')},
+nd as (select doc_id.d as id, doc_id.k as k, '- C' || doc_id.k || chr(10) || '  - Summary' || chr(10) || case when doc_id.k % 2 = 0 then '    - s' else '    ' end || chr(10) || '  - Full Text (Translation)' || chr(10) || '    ' || replace(outline, chr(10), chr(10) || '    ') as node from o_o)
+select id as doc_id, string_agg(node, chr(10) order by k) as outline from nd group by id""",
+}
