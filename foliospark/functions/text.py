@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 WS = r"[\s\x1c-\x1f]"
 # White space inside a line.
-HS = r"[^\S\n]"
+HS = r"[[^\S\n]\x1c-\x1f]"
+INK = r"[^\s\x1c-\x1f]"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -86,8 +86,8 @@ def chapters_at_h1(text: Column) -> Column:
 
 
 def exploded(df: DataFrame, chunks: Column, name: str = "chunk") -> DataFrame:
-    """One row per chunk with its number; chunk_no keeps the order."""
-    return df.select(*df.columns, F.posexplode(chunks).alias(f"{name}_no", name))
+    """One row per chunk with its number; chunk_no keeps the order. Columns of these names are replaced."""
+    return df.select(*(c for c in df.columns if c not in (name, f"{name}_no")), F.posexplode(chunks).alias(f"{name}_no", name))
 
 
 def rejoined(df: DataFrame, keys: list[str], no: str, text: str, by: str = "\n\n") -> DataFrame:

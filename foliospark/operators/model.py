@@ -61,7 +61,7 @@ def attempt(backend: Backend, prompt: str, options: Options, sleep: Callable[[fl
 def called(df: DataFrame, prompt: Column, backend: Backend, options: Options, out: str, fallback: str | None = None) -> DataFrame:
     """df with the column `out`: the stripped answer to each prompt.
 
-    Calls of a task run on a few threads; the bound holds per task. on_error fail: the job ends; passthrough: the
+    A column of that name is replaced. Calls of a task run on a few threads; the bound holds per task. on_error fail: the job ends; passthrough: the
     fallback column and a note; marker: a note with the error."""
     ship(df.sparkSession)
 
@@ -74,6 +74,8 @@ def called(df: DataFrame, prompt: Column, backend: Backend, options: Options, ou
                     raise
                 return (pair[1] or "") + FAILED["passthrough"] if options.on_error == "passthrough" else FAILED["marker"].format(error=e)
 
+        if fallback == out:
+            raise ValueError("the fallback column can't be the answer's")
         with ThreadPoolExecutor(options.concurrency) as pool:
             for batch in batches:
                 prompts = batch.column(batch.schema.get_field_index("_prompt")).to_pylist()
@@ -82,5 +84,6 @@ def called(df: DataFrame, prompt: Column, backend: Backend, options: Options, ou
                 answers = pa.array(list(pool.map(one, zip(prompts, texts))), pa.string())
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), answers], names=[*(batch.schema.names[i] for i in kept), out])
 
-    target = df.withColumn(out, F.lit("")).schema
-    return stage(df.withColumn("_prompt", prompt).mapInArrow(run, target), f"model-{out}")
+    asked = df.withColumn("_prompt", prompt).drop(out)
+    target = asked.drop("_prompt").withColumn(out, F.lit("")).schema
+    return stage(asked.mapInArrow(run, target), f"model-{out}")

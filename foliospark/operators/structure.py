@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.functions.text import HS, WS, contains_any, flush_level, heading_level, heading_title, is_h1, join, let, lines, nn, starts_hash, strip
+from foliospark.functions.text import HS, INK, WS, contains_any, flush_level, heading_level, heading_title, is_h1, join, let, lines, nn, starts_hash, strip
 from foliospark.options import ANALYSIS_HEADINGS, EXCLUDED_SECTIONS, HINT_EXCLUDED, PROTECTED_SECTIONS
 
 
 def heading_table(df: DataFrame, text: str = "md", dialect: str = "python") -> DataFrame:
-    """df's other columns with (line_no, level, title) of each heading."""
-    rest = [c for c in df.columns if c != text]
+    """df's other columns with (line_no, level, title) of each heading; columns of these names are replaced."""
+    rest = [c for c in df.columns if c not in (text, "line_no", "level", "title", "_line")]
     exploded = df.select(*rest, F.posexplode(lines(nn(F.col(text)), dialect)).alias("line_no", "_line"))
     return exploded.withColumn("level", heading_level(F.col("_line"))).where("level is not null").select(*rest, "line_no", "level", strip(heading_title(F.col("_line"))).alias("title"))
 
@@ -29,7 +29,7 @@ def outline_hint(text: Column, dialect: str = "python") -> Column:
 
 def sections(text: Column) -> Column:
     """A text with \\n only, cut before each stripped heading; the pieces join by \\n to the text."""
-    return F.split(text, rf"(?U)\n(?={HS}*#{{1,10}}{WS})")
+    return F.split(text, rf"(?U)\n(?={HS}*#{{1,10}}{HS}+{INK})")
 
 
 def _first_line(section: Column) -> Column:
