@@ -7,6 +7,7 @@ from dataclasses import dataclass, fields, replace
 
 # Title words whose sections are left out, and title words that protect a section.
 EXCLUDED_SECTIONS = ("references", "bibliography", "conflict of interest", "funding", "acknowledgements", "keywords", "author contributions", "orcid", "affiliations", "notes on contributors", "index")
+EXCLUDED_SECTIONS_WEB_BOOK = EXCLUDED_SECTIONS[:9] + ("contributors", "list of contributors", "about the authors", "about the author")
 PROTECTED_SECTIONS = ("abstract", "notes", "注釈", "抄録")
 # Headings of analysis, and of sections without content, that an outline hint leaves out.
 ANALYSIS_HEADINGS = ("リサーチ・クエスチョン", "核心的主張", "中心的な主張", "論理展開")

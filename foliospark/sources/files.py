@@ -6,7 +6,7 @@ import csv
 import io
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,19 @@ def read_documents(spark: SparkSession, path: str, dialect: str = "python") -> D
     return raw.select((F.regexp_replace("file", r"\.[^.]*$", "") if dialect == "python" else F.col("file")).alias("name"), text.alias("text"))
 
 
+def pasted(spark: SparkSession, text: str, name: str = "Direct Input") -> DataFrame:
+    """(name, text) of one text that was typed in; a blank one is no document."""
+    rows = [(name, text)] if text and text.strip() else []
+    return spark.createDataFrame(rows, "name string, text string")
+
+
+def observed(df: DataFrame, name: str, text: str = "text") -> tuple[DataFrame, Observation]:
+    """df with progress metrics (rows, characters, blank) that the next action fills, without another pass."""
+    metrics = Observation(name)
+    blank = F.count_if(strip(nn(F.col(text))) == "")
+    return df.observe(metrics, F.count("*").alias("rows"), F.sum(F.length(text)).alias("characters"), blank.alias("blank")), metrics
+
+
 def write_documents(df: DataFrame, path: str, name: str = "name", text: str = "text", suffix: str = "_output.txt") -> None:
     """One file per row, overwritten, written by the tasks: for folders that all executors share."""
     path = path.removeprefix("file://")

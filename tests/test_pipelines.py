@@ -121,3 +121,17 @@ def test_stream_of_files(spark, tmp_path):
         (tmp_path / "in" / f"{name}.txt").write_text("plain")
     got = {r.name: r.outline for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {"a": "- A\n  - B\n    - x", "b": "- plain"}
+
+
+def test_command_line_and_progress(spark, tmp_path):
+    from foliospark.__main__ import MODES, main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("one two")
+    (tmp_path / "g.csv").write_text("t,u\n")
+    main(["P", f'"{tmp_path}/in"', str(tmp_path / "out"), "--glossary", str(tmp_path / "g.csv")])
+    assert sorted(os.listdir(tmp_path / "out")) == ["a_output.txt", "a_structured_eng.md"] and (tmp_path / "out" / "a_output.txt").read_text().startswith("- a\n")
+    assert set(MODES.values()) == {"paper", "book"}
+    df, seen = files.observed(files.pasted(spark, "x y"), "read")
+    assert df.collect()[0].name == "Direct Input" and seen.get == {"rows": 1, "characters": 3, "blank": 0}
+    assert files.pasted(spark, " ").count() == 0
