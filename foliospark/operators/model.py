@@ -20,6 +20,7 @@ from foliospark.options import Options
 from foliospark.session import ship, stage
 
 Backend = Callable[[str], str]
+# What stands in place of an answer, or after the chunk.
 FAILED = {"passthrough": "\n\n(翻訳エラー)", "marker": "[翻訳処理中にエラーが発生しました: {error}]"}
 
 
