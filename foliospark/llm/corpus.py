@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from foliospark.session import stage
 
+#: Rows that a sample's threshold lets through, as a multiple of those wanted, as some may be null.
+SPARE = 3
 #: Distinct words in a task's counter before it is passed on.
 FLUSH = 300_000
 #: Steps by which a word count doubles, when the least count of a common word is sought.
@@ -20,12 +22,11 @@ STEPS = 8
 def sample(df: DataFrame, key: str, columns: dict[str, int], size: int) -> pa.Table:
     """At most `size` rows of the columns, each cut to its number of characters, chosen by a hash of the key.
 
-    A threshold on the hash lets about one and a half times as many rows through, so that few rows move however many
-    there are. For fitting models only."""
-    rows = df.where(" and ".join(f"`{c}` is not null" for c in columns))
-    n = rows.count()
-    part = min(1.0, 1.5 * size / max(1, n))
-    some = rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(part * (1 << 30)) + 1)
+    Rows with a null in a column are left out. The rows of df are counted, without reading the columns; a threshold on
+    the hash lets few times as many rows through as are wanted, so that few move however many there are. For fitting
+    models only."""
+    part = min(1.0, SPARE * size / max(1, df.count()))
+    some = df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(part * (1 << 30)) + 1).where(" and ".join(f"`{c}` is not null" for c in columns))
     return some.select(F.xxhash64(key).alias("h"), *(F.substring(c, 1, k).alias(c) for c, k in columns.items())).orderBy("h").limit(size).drop("h").toArrow()
 
 
