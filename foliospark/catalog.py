@@ -12,7 +12,7 @@ from foliospark.functions.text import nn, squeeze
 from foliospark.operators import anchors, assemble, chunks, model, structure
 from foliospark.options import REFUSAL_PHRASES, Options
 from foliospark.plans import pipelines
-from foliospark.session import table
+from foliospark.session import spread, table
 from foliospark.sources import files
 
 # Titles of the fixture, some kept, some excluded, one protected.
@@ -29,7 +29,7 @@ def fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
       WHEN i % 6 = 4 THEN concat('\n### ', x)
       WHEN i % 6 = 5 THEN concat('  - ', x)
       ELSE x END), '\n')"""
-    return table(spark, sf_dir, "documents").select("doc_id", "text", F.expr(md).alias("md"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", F.expr(md).alias("md"))
 
 
 def _md(column):
@@ -49,7 +49,7 @@ def heading_histogram(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fixed_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
     return chunks.exploded(docs, chunks.fixed_size(F.col("text"), 600, 200)).drop("text")
 
 
@@ -61,7 +61,7 @@ def _toc(docs: DataFrame) -> DataFrame:
 
 
 def anchor_split(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _toc(table(spark, sf, "documents").select("doc_id", "text")).where("size(toc) > 0")
+    docs = _toc(spread(table(spark, sf, "documents").select("doc_id", "text"))).where("size(toc) > 0")
     placed = F.transform("toc", lambda e: F.struct(e["chapter_title"].alias("title"), F.nullif(F.call_function("locate", F.lower(e["anchor_text"]), F.lower("text")) - 1, F.lit(-1)).alias("pos")))
     cut = docs.select("doc_id", "text", placed.alias("p")).select("doc_id", F.posexplode(anchors.chapters_between(F.col("text"), F.col("p"))).alias("chapter_no", "c"))
     return cut.select("doc_id", "chapter_no", "c.title", "c.text", "c.start", "c.end")
