@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.session import table
+from foliospark.session import spread, table
 
 #: Where the vocabulary files lie; a parameter of every function here.
 TOKENIZERS = "/opt/tokenizers"
@@ -136,7 +136,7 @@ def decode(df: DataFrame, ids: str = "ids", path: str = f"{TOKENIZERS}/{VOCABULA
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(table(spark, sf_dir, "documents"), "doc_id")
+    return encode(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
 
 
 def p7_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
