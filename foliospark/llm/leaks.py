@@ -6,7 +6,7 @@ may start where; from there the item is followed through the page, over misread
 adverts or other columns in between, and the words that it holds in a row are counted, with offsets in the page.
 
 Null and empty texts and items hold nothing. A page that holds an item twice is one row. Repeated rows repeat as they come.
-Sentences that several items share (instructions and questions) don't count.
+An item's first sentence (its instruction) and its last (its question) don't count where items that differ beside it share it.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from foliospark.session import spread, table
 
-#: Words in a row that make a leak; items that share a sentence before it counts as common; items a seed may belong to.
+#: Words in a row that make a leak; different items that share a first or last sentence before it counts as common; items
+#: a seed may belong to.
 WORDS, COMMON, SHARED = 12, 3, 4
 #: Characters of a seed, and from one seed to the next.
 SEED, STEP = 14, 2
@@ -39,13 +40,23 @@ LEFT_OUT = bytes(i for i in range(128) if not chr(i).isalnum())
 # Groups that scanning confuses, in folded form (n ri, d cl, u ii, m rn, in m, li h, w vv).
 GROUPS = (("n", "rl"), ("d", "el"), ("u", "ll"), ("m", "rn"), ("ln", "m"), ("ll", "b"), ("w", "vv"), ("rn", "m"), ("nl", "m"))
 
+# What ends in a full stop before a name.
+ABBREVIATED = re.compile(r"(?:^|\W)(?:Mr|Mrs|Ms|Messrs|Mme|Dr|Prof|Rev|Hon|St|Capt|Col|Gen|Lt|Sgt|No|[A-HJ-Z])\.$")
+
 
 def folded(text: str) -> str:
     return text.encode("ascii", "ignore").translate(LOWER).translate(SAME, LEFT_OUT).decode("ascii")
 
 
 def sentences(text: str) -> list[str]:
-    return [s for s in re.split(r"(?<=[.?!])\s+", text.strip()) if s]
+    """Cut after full stops, but not after those of titles before names and of initials."""
+    out: list[str] = []
+    for s in re.split(r"(?<=[.?!])\s+", text.strip()):
+        if out and ABBREVIATED.search(out[-1]):
+            out[-1] += " " + s
+        elif s:
+            out.append(s)
+    return out
 
 
 class Item:
@@ -65,21 +76,26 @@ class Item:
 
 
 def items_of(rows: list[tuple[int, str | None]], least: int = WORDS) -> list[Item]:
-    """Items without the sentences that COMMON items or more share, and without parts too short to leak."""
-    seen: Counter = Counter()
+    """Items without the instruction that opens them and the question that ends them, where COMMON different items have
+    these, and without items too short to leak. What stands between is one part, whatever items share in it."""
+    after: dict[str, set[str]] = {}
+    before: dict[str, set[str]] = {}
     split = {}
     for key, text in rows:
-        split[key] = sentences(text or "")
-        seen.update({folded(s) for s in split[key] if len(s.split()) >= 4})
+        split[key] = x = sentences(text or "")
+        if len(x) > 1:
+            after.setdefault(folded(x[0]), set()).add(folded(x[1]))
+            before.setdefault(folded(x[-1]), set()).add(folded(x[-2]))
+    common = lambda s, beside: len(s.split()) >= 4 and len(beside.get(folded(s), ())) >= COMMON
     out = []
     for key, _ in rows:
-        parts: list[list[str]] = [[]]
-        for s in split[key]:
-            if seen[folded(s)] >= COMMON:
-                parts.append([])
-            else:
-                parts[-1] += s.split()
-        item = Item(key, [p for p in parts if len(p) >= least])
+        x = split[key]
+        if x and common(x[0], after):
+            x = x[1:]
+        if x and common(x[-1], before):
+            x = x[:-1]
+        words = " ".join(x).split()
+        item = Item(key, [words] if len(words) >= least else [])
         if item.parts:
             out.append(item)
     return out

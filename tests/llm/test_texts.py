@@ -179,6 +179,20 @@ def test_leaks():
     assert leaks.leaks("Read the notice and answer the question below. What was the sum given?", items, seeds) == [] == leaks.leaks("", items, seeds)
 
 
+def test_shared_text_inside_an_item_counts():
+    """Only the instruction and the question are left out; an item isn't cut at 'Dr.' nor where items share words."""
+    rang = "When the colonel rang, Dr. {} left the {} and ran to the {} before the others."
+    rows = [(k, f"Read the notice and answer the question below. The {b} stood near the {c} for years. {rang.format(a, b, c)} What was the sum given?") for k, (a, b, c) in enumerate((("Kitobo", "quarry", "cattle"), ("Nakori", "minister", "regiment"), ("Sekupo", "shipment", "railwayman")), 1)]
+    same = "The warehouse of Mineka had cost its owner ninety three crowns before the fair. Nobody in the parish would say why it was so dear."
+    rows += [(k, f"{same} Is this {x}?") for k, x in enumerate(("true", "false", "known"), 11)]
+    items = leaks.items_of(rows)
+    assert [(i.key, len(i.parts), len(i.parts[0][2])) for i in items[:3]] == [(1, 1, 25), (2, 1, 25), (3, 1, 25)] and [i.key for i in items[3:]] == [11, 12, 13]
+    seeds = leaks.automaton(items)
+    assert [(k, n) for k, n, _, _ in leaks.leaks(f"Some page. {' '.join(rang.format('Kitobo', 'quarry', 'cattle').split()[:14])} and so on", items, seeds)] == [(1, 14)]
+    assert [k for k, *_ in leaks.leaks(same, items, seeds)] == [11, 12, 13]
+    assert leaks.leaks("Read the notice and answer the question below. What was the sum given?", items, seeds) == []
+
+
 def test_leaks_of_a_table(spark):
     pages = spark.createDataFrame([(1, LEAK, "c"), (1, LEAK, "c"), (2, None, "c"), (3, "", "c"), (4, OTHERS[0][1] + " " + LEAK.upper() + " x" * 50_000, "c")], "doc_id long, text string, words string")
     tests = spark.createDataFrame([(1, ITEM), *OTHERS, (7, None)], "item_id long, text string")
