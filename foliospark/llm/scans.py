@@ -48,6 +48,16 @@ CONFUSION_COST, DIGIT_GAIN = 3.0, 4.0
 UNKNOWN_COST, MERGED_COST, SPLIT_COST, LONGEST = 3.0, 3.0, 3.0, 24
 FLUSH = 300_000
 
+# Weights of characters for which a word's sum stays the same through every confusion.
+SUMS = {c: (ord(c) * 0x9E3779B97F4A7C15) % (1 << 40) for c in "aceotsvkpqxz237"}
+SUMS |= {"c": SUMS["e"], "f": SUMS["t"], "d": SUMS["e"] + 1, "0": SUMS["o"], "5": SUMS["s"], "4": 4 << 41, "y": SUMS["v"], "w": 2 * SUMS["v"]} | dict.fromkeys("ijlr1", 1) | dict.fromkeys("nuhb689g", 2) | {"m": 3}
+
+
+def confusion_sum(w: str) -> int:
+    """Equal for words of which one may be read for the other: what to look for before trying every confusion."""
+    return sum(SUMS.get(c) or ord(c) << 42 for c in w.lower())
+
+
 EDGES = re.compile(r"^[^\w]+|[^\w]+$")
 IGNORABLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 JAPANESE = re.compile("[぀-ヿ㐀-鿿ｦ-ﾟ]")
@@ -78,6 +88,16 @@ def count_words(text: str, counts: Counter) -> None:
         counts.update(words)
 
 
+class Cell:
+    """A word of the de-lined stream: its line, what was read, that without punctuation, what was printed, the defects in
+    it, and its joints: lines that end in it with a hyphen, and where in the core."""
+
+    __slots__ = ("line", "raw", "core", "text", "found", "joints")
+
+    def __init__(self, line: int, raw: str, core: str, text: str, found: list[tuple[int, str, str]], joints: tuple[tuple[int, int], ...] = ()):
+        self.line, self.raw, self.core, self.text, self.found, self.joints = line, raw, core, text, found, joints
+
+
 class Language:
     """Word counts, and a character model of the words that no count is known of."""
 
@@ -104,6 +124,12 @@ class Language:
         self.known: dict[str, str | None] = {}
         self.tokens: dict[str, tuple[str, str] | None] = {}
         self.joined: dict[tuple[str, str], str] = {}
+        self.readings: dict[str, tuple[float, str]] = {}
+        self.cuts: dict[str, tuple[float, list[str], list[str]] | None] = {}
+        self.odds: dict[str, bool] = {}
+        self.most = max(words.values(), default=1)
+        self.heads = self.fallen()
+        self.sums = {confusion_sum(w) for w in words}
 
     def count(self, w: str) -> int:
         """How often a word occurs; one in capitals, or at a sentence's start, as its small form too."""
@@ -208,46 +234,159 @@ class Language:
         n = self.count(w)
         return self.total - math.log(n) if n else self.total + UNKNOWN_COST * len(w)
 
-    def unknown(self, w: str) -> bool:
-        p = plain(w)
-        return len(p) > 1 and p.isalpha() and p.islower() and not self.count(p) and not JAPANESE.search(p)
+    def fallen(self) -> dict[str, set[str]]:
+        """Known words that, put before what the set holds, are likelier one word that fell apart into known ones."""
+        out: dict[str, set[str]] = {}
+        words = self.words
+
+        def ways(w: str, n: int) -> Iterator[tuple[str, float]]:  # first words, and what the cut into at most n costs
+            for i in range(1, len(w)):
+                if w[:i] in words:
+                    rest = [self.cost(w[i:]) - SPLIT_COST] if w[i:] in words else []
+                    if n > 2:
+                        rest += [c - SPLIT_COST for _, c in ways(w[i:], n - 1)]
+                    if rest:
+                        yield w[:i], self.cost(w[:i]) + max(rest)
+
+        for w in words:
+            if w.islower() and w.isalpha() and not JAPANESE.search(w):
+                own = self.cost(w)
+                for a, cost in ways(w, 3):
+                    if own < cost:
+                        for x in (a, a.capitalize()):
+                            out.setdefault(x, set()).add(w[len(a) :])
+        return out
+
+    def reading(self, w: str) -> tuple[float, str]:
+        """The cheapest reading of a word in the midst of a run, and its cost: itself, or through one confusion."""
+        if (v := self.readings.get(w)) is None:
+            n = self.count(w)
+            v = (self.total - math.log(n) if n else self.total + UNKNOWN_COST * len(w), w)
+            if len(w) > 2 and not n and confusion_sum(w) in self.sums:
+                n, x = max(((self.count(x), x) for x in self.unread(w)), default=(0, ""))
+                if n >= RATIO:
+                    v = min(v, (self.cost(x) + CONFUSION_COST, x))
+            if len(self.readings) > FLUSH:
+                self.readings.clear()
+            self.readings[w] = v
+        return v
 
-    def cut(self, run: str) -> tuple[float, list[str]]:
-        """The likeliest cut of a run of letters into words, and its cost. Linear in the run's length."""
-        best: list[tuple[float, int]] = [(0.0, 0)]
+    def cut(self, run: str) -> tuple[float, list[str], list[str]]:
+        """The likeliest cut of a run of letters into words: its cost, the words, and what was read for each. Linear in
+        the run's length."""
+        costs, back, least = [0.0], [0], self.total - math.log(self.most)
         for j in range(1, len(run) + 1):
-            best.append(min((best[i][0] + self.cost(run[i:j]) + MERGED_COST, i) for i in range(max(0, j - LONGEST), j)))
-        out, j = [], len(run)
+            cost, at = math.inf, 0
+            for i in range(max(0, j - LONGEST), j):
+                if costs[i] + least + MERGED_COST < cost and (c := costs[i] + self.reading(run[i:j])[0] + MERGED_COST) < cost:
+                    cost, at = c, i
+            costs.append(cost)
+            back.append(at)
+        read, j = [], len(run)
         while j:
-            out.append(run[best[j][1] : j])
-            j = best[j][1]
-        return best[-1][0] - MERGED_COST, out[::-1]
+            read.append(run[back[j] : j])
+            j = back[j]
+        read.reverse()
+        return costs[-1] - MERGED_COST, [self.reading(x)[1] for x in read], read
+
+    def apart(self, w: str) -> tuple[float, list[str], list[str]] | None:
+        """The cut of a word that is likelier than the word itself, None if there is none. Names stay whole."""
+        if w not in self.cuts:
+            cut = self.cut(w) if w.islower() and self.cost(w) > 2 * (self.total - math.log(self.most)) + MERGED_COST else None
+            if len(self.cuts) > FLUSH:
+                self.cuts.clear()
+            self.cuts[w] = cut if cut and len(cut[1]) > 1 and cut[0] < self.cost(w) and all(map(self.count, cut[1])) else None
+        return self.cuts[w]
+
+    def odd(self, w: str) -> bool:
+        """Whether a word may be part of another, or more than one."""
+        if (v := self.odds.get(w)) is None:
+            if len(self.odds) > FLUSH:
+                self.odds.clear()
+            self.odds[w] = v = len(w) > 1 and w.isalnum() and not "".join(DIGITS.get(c, c) for c in w).isdigit() and not JAPANESE.search(w) and (not self.count(w) or self.apart(w) is not None)
+        return v
 
-    def segmented(self, words: list[str]) -> list[str]:
-        """The words of a stretch of the stream, segmented anew where one is unknown: the cheapest path on which words
-        stay, fall together with their neighbours, or come apart."""
-        odd = [self.unknown(w) for w in words]
-        if not any(odd):
-            return words
-        best: list[tuple[float, int, list[str]]] = [(0.0, 0, [])]
-        for k in range(1, len(words) + 1):
-            p = plain(words[k - 1])
-            options = [(best[k - 1][0] + self.cost(p), k - 1, [words[k - 1]])]
-            if odd[k - 1]:
-                cost, parts = self.cut(p)
-                at = words[k - 1].find(p)
-                if len(parts) > 1 and at >= 0 and all(map(self.count, parts)):
-                    parts[0], parts[-1] = words[k - 1][:at] + parts[0], parts[-1] + words[k - 1][at + len(p) :]
-                    options.append((best[k - 1][0] + cost, k - 1, parts))
+    def whole(self, cells: list[Cell], odd: bool) -> tuple[float, Cell] | None:
+        """The cells as one word that fell apart, where one is odd through a confusion too, and its cost."""
+        cores = [c.core for c in cells]
+        if not all(x.isalnum() for x in cores) or any(c.raw[-len(c.core) :] != c.core for c in cells[:-1]) or any(c.raw[: len(c.core)] != c.core for c in cells[1:]):
+            return None
+        w = "".join(cores)
+        if not (w[1:].islower() or w.isupper()) or len(w) > 40:
+            return None
+        v, cost = w, SPLIT_COST * (len(cells) - 1)
+        if not self.count(w):
+            v, cost = self.decode(w) if odd and confusion_sum(w) in self.sums else None, cost + CONFUSION_COST
+            if not v or not self.count(v):
+                return None
+        first, last = cells[0].raw, cells[-1].raw
+        text = first[: first.find(cores[0])] + v + last[last.rfind(cores[-1]) + len(cores[-1]) :]
+        lines = [k for c in cells for k, defect, _ in c.found if defect == "hyphen"]
+        found = [(k, "hyphen", v) for k in lines] or ([(cells[0].line, "misread", v)] if v != w else [])
+        return cost + self.cost(v), Cell(cells[0].line, "".join(c.raw for c in cells), w, text, found)
+
+    def parts(self, cell: Cell) -> tuple[float, list[Cell]] | None:
+        """The words that fell together in a cell, and their cost."""
+        at = cell.raw.find(cell.core)
+        if at < 0 or not (cut := self.apart(cell.core)):
+            return None
+        cost, words, read = cut
+        out, end = [], 0
+        for v, r in zip(words, read):
+            begin, end = end, end + len(r)
+            if any(place == end for _, place in cell.joints):
+                return None  # a hyphen says that the word goes on
+            over = [k for k, place in cell.joints if begin < place < end]
+            out.append(Cell(cell.line, r, r, v, [(k, "hyphen", v) for k in over] or ([(cell.line, "misread", v)] if v != r else [])))
+        out[0].text, out[-1].text = cell.raw[:at] + out[0].text, out[-1].text + cell.raw[at + len(cell.core) :]
+        return cost, out
+
+    def path(self, cells: list[Cell]) -> list[Cell]:
+        """The cheapest path through the de-lined stream, on which words stay as decoded, fall together with their
+        neighbours, or come apart. Only next to odd words and those that make a word with the next ones is there more
+        than one way, so the rest is passed over."""
+        cores = [c.core for c in cells] + ["", ""]
+        odds, heads, at = self.odds, self.heads, []
+        for k in range(len(cells)):
+            w = cores[k]
+            if (odds[w] if w in odds else self.odd(w)) or (w in heads and (cores[k + 1] in heads[w] or cores[k + 1] + cores[k + 2] in heads[w])):
+                at.append(k)
+        if not at:
+            return cells
+        out, done, i = [], 0, 0
+        while i < len(at):
+            begin, end = max(done, at[i] - 2), at[i] + 3
+            while i + 1 < len(at) and at[i + 1] - 2 < end:
+                i += 1
+                end = at[i] + 3
+            end, i = min(end, len(cells)), i + 1
+            out += cells[done:begin]
+            out += self._path(cells[begin:end])
+            done = end
+        return out + cells[done:]
+
+    def _path(self, cells: list[Cell]) -> list[Cell]:
+        odd = [self.odd(c.core) for c in cells]
+        best: list[tuple[float, int, list[Cell]]] = [(0.0, 0, [])]
+        for k in range(1, len(cells) + 1):
+            c = cells[k - 1]
+            v = plain(c.text)
+            options = [(best[k - 1][0] + self.cost(v) + (CONFUSION_COST if v != c.core else 0.0), k - 1, [c])]
+            if odd[k - 1] and (made := self.parts(c)):
+                options.append((best[k - 1][0] + made[0], k - 1, made[1]))
             for i in range(max(0, k - 3), k - 1):
-                if any(odd[i:k]) and self.count(plain(whole := "".join(words[i:k]))):
-                    options.append((best[i][0] + self.cost(plain(whole)) + SPLIT_COST * (k - i - 1), i, [whole]))
+                if one := self.whole(cells[i:k], any(odd[i:k])):
+                    options.append((best[i][0] + one[0], i, [one[1]]))
             best.append(min(options, key=lambda o: o[0]))
-        out, k = [], len(words)
+        out, k = [], len(cells)
         while k:
-            out[:0] = best[k][2]
+            out.append(best[k][2])
             k = best[k][1]
-        return out
+        return [c for part in reversed(out) for c in part]
+
+    def segmented(self, words: list[str]) -> list[str]:
+        """The words of a stretch of the stream on its cheapest path."""
+        return [c.text for c in self.path([Cell(0, w, plain(w), w, []) for w in words])]
 
 
 def folded(s: str) -> str:
@@ -343,14 +482,14 @@ def layout(lines: list[str], titles: list[str]) -> list[str]:
     return kinds
 
 
-def repaired(text: str, titles: list[str], language: Language, joined: bool = True) -> tuple[list[tuple[int, str, str]], list[str]]:
-    """The defects (line_no, defect, word) of a text, and its paragraphs if joined."""
-    lines = text.split("\n")
-    kinds = layout(lines, titles)
+def decoded(lines: list[str], kinds: list[str], language: Language) -> tuple[list[tuple[int, str, str]], list[tuple[int, list[str]]]]:
+    """The defects (line_no, defect, word) of the lines, and the repaired words of each line: one decoding of the
+    de-lined stream for misread, broken, fallen apart and fallen together words."""
     decode, known = language.decode, language.tokens
     found: list[tuple[int, str, str]] = []
-    stream: list[tuple[int, list[str]]] = []
-    broken = None  # of the line before: its number and the half of the word
+    cells: list[Cell] = []
+    held: list[int] = []  # the lines in the stream
+    broken = None  # of the line before: its number, the last word without its hyphen, and the half of the word
     for k, line in enumerate(lines):
         kind = kinds[k]
         if kind in ("header", "page_no"):
@@ -363,13 +502,12 @@ def repaired(text: str, titles: list[str], language: Language, joined: bool = Tr
         if broken:
             k0, half = broken
             rest = plain(words[0])
-            if rest and rest[0].isalpha() and stream:
+            if rest and rest[0].isalpha() and cells:
+                last = cells.pop()
                 word = language.join(half, rest)
-                found.append((k0, "hyphen", word))
-                before = stream[-1][1]
-                last = before[-1]
-                at = last.rfind(half)
-                before[-1] = (last[:at] if at > 0 else "") + word + words[0][words[0].rfind(rest) + len(rest) :] if rest in words[0] else word
+                at = max(0, last.raw.rfind(half))
+                lead, tail = last.raw[:at], words[0][words[0].rfind(rest) + len(rest) :] if rest in words[0] else ""
+                cells.append(Cell(last.line, lead + half + rest + tail, half + rest, lead + word + tail, [(k0, "hyphen", word)], ((k0, len(half)),)))
                 start = 1
             broken = None
         end = len(words)
@@ -378,23 +516,33 @@ def repaired(text: str, titles: list[str], language: Language, joined: bool = Tr
             if half and half[-1].isalpha():
                 broken = (k, half)
                 end -= 1
-        out = words[start:]
-        if kind != "title" or len(lines) == 1:
-            for i in range(start, end):
-                w = words[i]
-                try:
-                    v = known[w]
-                except KeyError:
-                    if len(known) > FLUSH:
-                        known.clear()
-                    p = plain(w)
-                    known[w] = v = (p, d) if p and (d := decode(p)) is not None else None
-                if v is not None:
-                    found.append((k, "misread", v[1]))
-                    out[i - start] = w.replace(v[0], v[1]) if v[0] in w else v[1]
-        if out or not stream:
-            stream.append((k, language.segmented(out) if joined else out))
-    return found, paragraphs(lines, kinds, stream) if joined else []
+        held.append(k)
+        for i in range(start, len(words)):
+            w = words[i]
+            if i >= end or (kind == "title" and len(lines) > 1):
+                cells.append(Cell(k, w, "" if kind == "title" else plain(w), w, []))
+                continue
+            try:
+                v = known[w]
+            except KeyError:
+                if len(known) > FLUSH:
+                    known.clear()
+                p = plain(w)
+                known[w] = v = (p, p, None) if not p or (d := decode(p)) is None else (p, d, w.replace(p, d) if p in w else d)
+            cells.append(Cell(k, w, v[0], w, []) if v[2] is None else Cell(k, w, v[0], v[2], [(k, "misread", v[1])]))
+    stream: dict[int, list[str]] = {k: [] for k in held}
+    for c in language.path(cells):
+        found += c.found
+        stream[c.line].append(c.text)
+    return found, [(k, ws) for n, (k, ws) in enumerate(stream.items()) if ws or not n]
+
+
+def repaired(text: str, titles: list[str], language: Language) -> tuple[list[tuple[int, str, str]], list[str]]:
+    """The defects (line_no, defect, word) of a text, and its paragraphs."""
+    lines = text.split("\n")
+    kinds = layout(lines, titles)
+    found, stream = decoded(lines, kinds, language)
+    return found, paragraphs(lines, kinds, stream)
 
 
 def paragraphs(lines: list[str], kinds: list[str], stream: list[tuple[int, list[str]]]) -> list[str]:
@@ -474,7 +622,7 @@ def repair(df: DataFrame, what: str, vocab: dict[str, int] | None = None) -> Dat
                 for s, i, h, t in zip(src, key, title, text):
                     if t is None:
                         continue
-                    defects, paras = repaired(t, [h] if h else [], language, what == "paragraphs")
+                    defects, paras = repaired(t, [h] if h else [], language)
                     rows += [(s, i, *d) for d in defects] if what == "defects" else [(s, i, k, p) for k, p in enumerate(paras)]
                 columns = list(zip(*rows)) or [()] * len(schema)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)

@@ -111,6 +111,30 @@ def test_nothing_to_repair(language):
     assert scans.repaired("日本語の行。\n次の行。", [], language)[1] == ["日本語の行。次の行。"]
 
 
+def test_one_decoding_of_the_stream(language):
+    """Defects and paragraphs come from one path: misread words that fell apart or together, across lines and hyphens."""
+    text = "Every committee needs the expc\ndition of thc carpenter and the car-\npen ter ofthclibrary was completed."
+    found, paragraphs = scans.repaired(text, [], language)
+    assert sorted(found) == sorted([(0, "misread", "expedition"), (1, "misread", "the"), (1, "hyphen", "carpenter"), (2, "misread", "the")])
+    assert paragraphs == ["Every committee needs the expedition of the carpenter and the carpenter of the library was completed."]
+
+
+def test_confusions_keep_the_sum():
+    for printed, read in scans.CONFUSIONS:
+        assert scans.confusion_sum(printed) == scans.confusion_sum(read)
+    assert scans.confusion_sum("library") != scans.confusion_sum("carpenter")
+
+
+def test_defects_of_a_table_come_from_the_path(spark):
+    text = "The carpenter of the libraiy and the car-\npen ter ofthclibrary was completed."
+    df = spark.createDataFrame([("chapters", 1, None, text)], "src string, row_id long, title string, text string")
+    counts = Counter()
+    scans.count_words(BODY * 60, counts)
+    vocab = {p: n for w, n in counts.items() if (p := scans.plain(w))}
+    got = {(r.line_no, r.defect, r.word) for r in scans.repair(df, "defects", vocab).collect()}
+    assert got >= {(0, "hyphen", "carpenter"), (1, "misread", "the")}
+
+
 def test_scans_of_a_table(spark):
     rows = [("chapters", 1, "The Old Library", SCAN + BODY * 60, "k"), ("chapters", 1, "The Old Library", SCAN + BODY * 60, "k"), ("chapters", 2, None, None, "k"), ("chapters", 3, None, "", "k")]
     df = spark.createDataFrame(rows, "src string, row_id long, title string, text string, word string")
