@@ -69,7 +69,10 @@ def anchor_split(spark: SparkSession, sf: str) -> DataFrame:
 
 def _damaged(spark: SparkSession, sf: str) -> DataFrame:
     """Each page with an anchor from its middle whose 13th character is another."""
-    docs = table(spark, sf, "documents").select("doc_id", "text").where("length(text) between 200 and 4000")
+    return _with_anchor(table(spark, sf, "documents").select("doc_id", "text").where("length(text) between 200 and 4000"))
+
+
+def _with_anchor(docs: DataFrame) -> DataFrame:
     piece = F.expr("trim(lower(substr(text, cast(length(text) / 2 as int), 40)))")
     return docs.withColumn("anchor", F.concat(F.substring(piece, 1, 12), F.lit("~"), F.substring(piece, 14, 40)))
 
@@ -78,6 +81,13 @@ def fuzzy_anchor(spark: SparkSession, sf: str) -> DataFrame:
     return _damaged(spark, sf).select("doc_id", "anchor", anchors.fuzzy_find(F.col("text"), F.col("anchor")).alias("pos"))
 
 
+def fuzzy_anchor_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """fuzzy_anchor over every page, of whatever length. Null, empty and blank texts have an empty anchor and no position."""
+    docs = _with_anchor(spread(table(spark, sf, "documents").select("doc_id", "text")))
+    anchor = F.when(F.trim(nn(F.col("text"))) == "", "").otherwise(F.col("anchor"))
+    return docs.withColumn("anchor", anchor).select("doc_id", "anchor", anchors.fuzzy_find(F.col("text"), F.col("anchor")).alias("pos"))
+
+
 def web_anchor_split(spark: SparkSession, sf: str) -> DataFrame:
     docs = fixture(spark, sf).select("doc_id", "md")
     heads = F.transform(F.filter(F.split("md", "\n"), lambda x: F.startswith(x, F.lit("## "))), lambda x: F.struct(F.substring(x, 4, 100).alias("title"), F.lit("").alias("start_snippet")))
@@ -257,6 +267,7 @@ def queries() -> dict:
         "chunk_counts": chunk_counts,
         "anchor_split": anchor_split,
         "fuzzy_anchor": fuzzy_anchor,
+        "fuzzy_anchor_whole": fuzzy_anchor_whole,
         "web_anchor_split": web_anchor_split,
         "toc_json": toc_json,
         "web_toc_json": web_toc_json,
