@@ -203,6 +203,12 @@ def model_stub(spark: SparkSession, sf: str) -> DataFrame:
     return model.called(docs, F.concat(F.lit("Translate:\n\n"), F.replace("head", F.lit("\n\n"), F.lit(" "))), model.stub, STUB, "answer").select("paper_id", "answer")
 
 
+def model_stub_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """model_stub with the whole text in the prompt."""
+    docs = spread(table(spark, sf, "paper_pipeline").where("structured_md is not null").select("paper_id", "structured_md"))
+    return model.called(docs, F.concat(F.lit("Translate:\n\n"), F.replace("structured_md", F.lit("\n\n"), F.lit(" "))), model.stub, STUB, "answer").select("paper_id", "answer")
+
+
 def _named(spark: SparkSession, sf: str) -> DataFrame:
     return fixture(spark, sf).select(F.col("doc_id").cast("string").alias("name"), F.col("md").alias("text"))
 
@@ -285,6 +291,7 @@ def queries() -> dict:
         "assemble_simple_book": assemble_simple_book,
         "joined_markdown": joined_markdown,
         "model_stub": model_stub,
+        "model_stub_whole": model_stub_whole,
         "pipeline_paper": pipeline_paper,
         "pipeline_web_paper": pipeline_web_paper,
         "pipeline_book": pipeline_book,

@@ -37,3 +37,10 @@ def test_fuzzy_anchors_of_pages_of_any_length(spark, sf):
     assert got.keys() == texts.keys() and len(texts[1]) > 4000
     assert {k: r.pos for k, r in got.items()} == {k: brute(texts[k], r.anchor) for k, r in got.items()}
     assert got[1].pos is not None and got[2].pos is not None and [got[k].pos for k in (4, 5)] == [None, None]
+
+
+def test_a_prompt_holds_the_whole_text(spark, tmp_path):
+    rows = [(1, "# A\n\n" + TEXT * 60 + "end"), (2, "short"), (3, None)]
+    spark.createDataFrame(rows, "paper_id long, structured_md string").coalesce(1).write.parquet(f"{tmp_path}/paper_pipeline.parquet")
+    got = {r.paper_id: r.answer for r in catalog.queries()["model_stub_whole"](spark, str(tmp_path)).collect()}
+    assert got == {k: t.replace("\n\n", " ").upper().strip() for k, t in rows if t is not None}
