@@ -20,8 +20,8 @@ TITLES = ("Introduction", "References", "Methods", "Notes on contributors", "Ind
 STUB = Options(first_delay_s=0.0)
 
 
-def fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text, md): headings by line number, every sixth."""
+def fixture(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """(doc_id, text, md) and more columns of the pages: headings by line number, every sixth."""
     titles = ", ".join(f"'{t}'" for t in TITLES)
     md = rf"""array_join(transform(split(coalesce(text, ''), '\n'), (x, i) -> CASE
       WHEN i = 0 THEN concat('# ', x)
@@ -29,7 +29,7 @@ def fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
       WHEN i % 6 = 4 THEN concat('\n### ', x)
       WHEN i % 6 = 5 THEN concat('  - ', x)
       ELSE x END), '\n')"""
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", F.expr(md).alias("md"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", *more)).select("doc_id", "text", F.expr(md).alias("md"), *more)
 
 
 def _md(column):
@@ -48,6 +48,11 @@ def heading_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return structure.heading_table(fixture(spark, sf).select("doc_id", "md")).groupBy("level", "title").agg(F.count("*").alias("n")).where("level = 2")
 
 
+def heading_histogram_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Headings of every level, counted by language; pages without a language count under null."""
+    return structure.heading_table(fixture(spark, sf, "lang").select("doc_id", "md", "lang")).groupBy("level", "lang").agg(F.count("*").alias("n"))
+
+
 def fixed_chunks(spark: SparkSession, sf: str) -> DataFrame:
     docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
     return chunks.exploded(docs, chunks.fixed_size(F.col("text"), 600, 200)).drop("text")
@@ -253,6 +258,7 @@ def queries() -> dict:
         "paper_outline": paper_outline,
         "heading_table": lambda s, d: structure.heading_table(fixture(s, d).select("doc_id", "md")),
         "heading_histogram": heading_histogram,
+        "heading_histogram_whole": heading_histogram_whole,
         "extract_outline": _md(lambda c: structure.outline_hint(c).alias("hint")),
         "remove_sections": _md(lambda c: structure.remove_sections(c).alias("kept")),
         "normalize_headings": lambda s, d: fixture(s, d).select("doc_id", structure.shift_headings(_shifted()).alias("shifted")),

@@ -1,5 +1,8 @@
 """Queries without a filter or prefix, against brute force."""
 
+import re
+from collections import Counter
+
 import pytest
 
 from foliospark import catalog
@@ -44,3 +47,10 @@ def test_a_prompt_holds_the_whole_text(spark, tmp_path):
     spark.createDataFrame(rows, "paper_id long, structured_md string").coalesce(1).write.parquet(f"{tmp_path}/paper_pipeline.parquet")
     got = {r.paper_id: r.answer for r in catalog.queries()["model_stub_whole"](spark, str(tmp_path)).collect()}
     assert got == {k: t.replace("\n\n", " ").upper().strip() for k, t in rows if t is not None}
+
+
+def test_headings_of_every_level_and_language(spark, sf):
+    pages = catalog.fixture(spark, sf, "lang").select("md", "lang").collect()
+    want = Counter((len(m[1]), r.lang) for r in pages for line in r.md.split("\n") if (m := re.match(r"(#{1,10})\s", line.strip())))
+    got = {(r.level, r.lang): r.n for r in catalog.queries()["heading_histogram_whole"](spark, sf).collect()}
+    assert got == want and {level for level, _ in got} == {1, 2, 3}
