@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -41,18 +42,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Compressed bytes of files up to which an input counts as small.
+SMALL = 1 << 30
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where its files give fewer partitions than there are cores, as one small file does; else df.
+    """df over all cores where its files are small and give fewer partitions than there are cores, as one file of one row
+    group does; else df.
 
-    Costs a shuffle of a small input, so that costly narrow operators don't run in one task. Large inputs are not touched."""
+    So that costly narrow operators don't run in one task. Never shuffles more than SMALL bytes of files, whatever the
+    cluster: Catalyst's own estimate of the scan decides, which is the size of the files."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= SMALL and df.rdd.getNumPartitions() < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder that all executors share, from spark.checkpoint.dir.
+
+    Where it is unset, a temporary one if all runs on one machine, as in tests; on a cluster an error, for what one
+    machine writes in its own folder the others can't read."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = getattr(spark.sparkContext, "_foliospark_dir", None)
         if where is None:
             where = tempfile.mkdtemp(prefix="foliospark-")
@@ -63,8 +76,22 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df once as a table in the shared folder and reads it back.
 
-    Cuts the lineage: a lost executor costs a re-read, not a recomputation, and later reads share one computation."""
+    Cuts the lineage: a lost executor costs a re-read, not a recomputation, and later reads share one computation. The
+    table goes when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def once(df: DataFrame, key: str) -> DataFrame:
+    """df, a selection of a table's columns, with the first delivered row of each key; rows with a null key all stay.
+
+    Only keys and places in the files are grouped, so no text is shuffled: the keys that came more than once are written
+    and joined back, by broadcast where their table is below Spark's own bound for that, else by key."""
+    placed = df.select("*", F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r")).alias("_at"))
+    repeated = placed.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"), F.min("_at").alias("_first")).where("_n > 1").drop("_n")
+    both = placed.join(stage(repeated, "repeated"), key, "left")
+    return both.where("_first is null or _first = _at").select(*df.columns)
