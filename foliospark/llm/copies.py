@@ -46,25 +46,25 @@ def records(rows: DataFrame) -> DataFrame:
 def counted(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     """(kept_id, n_copies) of each record, and whether another record shares its 128 bits."""
     found = records(keyed(df, id_col, fields).distinct())
-    clash = found.groupBy("h128").agg(F.count("*").alias("m")).where("m > 1").select("h128", F.lit(True).alias("c"))
-    return found.join(clash, "h128", "left").select("kept_id", F.col("n").alias("n_copies"), F.coalesce("c", F.lit(False)).alias("collision"))
+    by_bits = found.groupBy("h128").agg(F.collect_list(F.struct("kept_id", "n")).alias("r"))  # one record but for collisions
+    return by_bits.select(F.explode("r").alias("x"), (F.size("r") > 1).alias("collision")).select("x.kept_id", F.col("x.n").alias("n_copies"), "collision")
 
 
 def copies(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
-    """(kept_id, copy_id): the smallest id of the record and each other id.
+    """(kept_id, copy_id): the smallest id of the record and each other id, once.
 
-    The records with more than one copy are written once. The hot ones, of which there are provably few, are
-    broadcast, so that their rows never meet in one task; the others are joined by hash."""
-    rows = keyed(df, id_col, fields)
+    The rows are brought to their keys once and written; so are the records with more than one row. The hot ones, of
+    which there are provably few, are broadcast, so that their rows never meet in one task; the others are joined by
+    hash, and copies delivered twice are dropped where they meet, without another shuffle."""
+    rows = stage(keyed(df, id_col, fields), "keys")
     several = stage(records(rows).where("n > 1"), "records")
-    total = several.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    marked = several.crossJoin(F.broadcast(total)).select("h128", "h64", "kept_id", (F.col("n") > F.col("total") * HOT_SHARE).alias("hot"))
-    hot, cold = (marked.where(c).select("h128", "h64", "kept_id") for c in ("hot", "not hot"))
-    on = ["h128", "h64"]
-    of_hot = rows.join(F.broadcast(hot), on)
-    of_cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold.hint("merge"), on)
-    both = of_hot.select("kept_id", "id").unionByName(of_cold.select("kept_id", "id"))
-    return both.where("id <> kept_id").select("kept_id", F.col("id").alias("copy_id"))
+    total = several.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    on, is_hot = ["h128", "h64"], F.col("n") > F.lit(total * HOT_SHARE)
+    hot, cold = F.broadcast(several.where(is_hot).select(*on, "kept_id")), several.where(~is_hot).select(*on, "kept_id")
+    of_hot = rows.join(hot, on).where("id <> kept_id").select("kept_id", F.col("id").alias("copy_id")).distinct()
+    of_cold = rows.join(hot.select(*on), on, "left_anti").join(cold.hint("merge"), on).where("id <> kept_id")
+    of_cold = of_cold.groupBy(*on, "kept_id", F.col("id").alias("copy_id")).agg(F.count("*").alias("n")).select("kept_id", "copy_id")
+    return of_hot.unionByName(of_cold)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,14 +12,14 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.session import table
+from foliospark.session import once, table
 
 LIMIT, OVERLAP = 4000, 200
 #: Kinds of boundaries, the best first. A boundary is where the match ends.
@@ -65,16 +65,17 @@ def spans(text: str, limit: int = LIMIT, overlap: int = OVERLAP, tokens: Sequenc
     return out
 
 
-def cut(df: DataFrame, keys: Sequence[str], text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+def cut(df: DataFrame, keys: Sequence[str], text: str, limit: int = LIMIT, overlap: int = OVERLAP, tokenize: Callable[[str], Sequence[str]] | None = None) -> DataFrame:
     """(keys, piece_no, start, cut_at, piece) of each item.
 
-    Only the texts over the limit go to Python, and only offsets come back; the JVM cuts the strings. Narrow."""
+    tokenize: cuts a text into tokens, none of them empty, that join to it; then limit and overlap count tokens. Only the texts over the limit go to Python, and only offsets come back; the JVM cuts the strings. Narrow."""
 
     @F.pandas_udf("array<struct<s:int,e:int,k:string>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield texts.map(lambda t: None if t is None else [{"s": s, "e": e, "k": k} for s, e, k in spans(t, limit, overlap)])
+            yield texts.map(lambda t: None if t is None else [{"s": s, "e": e, "k": k} for s, e, k in spans(t, limit, overlap, tokenize(t) if tokenize else None)])
 
+    run = run.asNondeterministic()  # else the plan asks for the offsets once more, to filter out items without any
     items = df.select(*keys, F.col(text).alias("_t")).where("_t is not null")
     whole = items.where(F.length("_t") <= limit).select(*keys, F.lit(0).alias("piece_no"), F.lit(0).alias("start"), F.lit("end").alias("cut_at"), F.col("_t").alias("piece"))
     big = items.where(F.length("_t") > limit).withColumn("_s", run("_t"))
@@ -84,16 +85,18 @@ def cut(df: DataFrame, keys: Sequence[str], text: str, limit: int = LIMIT, overl
     return whole.unionByName(pieces)
 
 
-def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, row_id, text): raw_text of chapters and structured_md of papers."""
-    a = table(spark, sf_dir, "chapters").select(F.lit("chapters").alias("src"), F.col("chapter_id").alias("row_id"), F.col("raw_text").alias("text"))
+def items(spark: SparkSession, sf_dir: str, single: bool = False) -> DataFrame:
+    """(src, row_id, text): raw_text of chapters, on demand each chapter once, and structured_md of papers."""
+    chapters = table(spark, sf_dir, "chapters").select("chapter_id", "raw_text")
+    chapters = once(chapters, "chapter_id") if single else chapters
+    a = chapters.select(F.lit("chapters").alias("src"), F.col("chapter_id").alias("row_id"), F.col("raw_text").alias("text"))
     b = table(spark, sf_dir, "paper_pipeline").select(F.lit("paper_pipeline").alias("src"), F.col("paper_id").alias("row_id"), F.col("structured_md").alias("text"))
     return a.unionByName(b)
 
 
 def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of each item, once whatever the number of delivered copies."""
-    return cut(items(spark, sf_dir).where(F.length("text") > LIMIT).dropDuplicates(["src", "row_id"]), ["src", "row_id"], "text")
+    return cut(items(spark, sf_dir, True).where(F.length("text") > LIMIT), ["src", "row_id"], "text")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

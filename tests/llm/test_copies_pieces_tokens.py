@@ -99,6 +99,32 @@ def test_pieces_of_a_table(spark):
     assert pieces.cut(df.limit(0), ["id"], "text").count() == 0
 
 
+def test_pieces_of_tokens(spark):
+    words = "The quick, brown fox met. Then it ran\n\nand ran and ran."
+    df = spark.createDataFrame([(1, words), (2, "x" * 90), (3, None)], "id long, text string")
+    got = pieces.cut(df, ["id"], "text", 4, 1, lambda t: re.findall(r"\S+\s*", t)).orderBy("id", "piece_no").collect()
+    one = [r.piece for r in got if r.id == 1]
+    assert all(len(re.findall(r"\S+", p)) <= 4 for p in one) and one[0] == "The quick, brown fox " and one[1].startswith("fox ")
+    assert [r.piece for r in got if r.id == 2] == ["x" * 90] and {r.id for r in got} == {1, 2}
+
+
+def test_copies_of_repeated_rows(spark):
+    rows = [(1, "a b", "c"), (2, "C", "A-b"), (2, "C", "A-b"), (1, "a b", "c")] + [(k, "hot", "x") for k in range(10, 4000)] * 2
+    df = spark.createDataFrame(rows, "id long, term string, translation string")
+    got = sorted(tuple(r) for r in copies.copies(df, "id", ["term", "translation"]).collect())
+    assert got == sorted(brute_copies(rows)) and got[0] == (1, 2)
+
+
+def test_pieces_of_delivered_copies_come_once(spark, tmp_path):
+    long = "One sentence here. " * 400
+    rows = [(1, long), (1, long), (2, "é" * 5000), (None, long), (None, long)]
+    spark.createDataFrame(rows, "chapter_id long, raw_text string").repartition(3).write.parquet(f"{tmp_path}/chapters.parquet")
+    spark.createDataFrame([(1, long)], "paper_id long, structured_md string").write.parquet(f"{tmp_path}/paper_pipeline.parquet")
+    got = pieces.p6_pieces(spark, str(tmp_path)).collect()
+    n = len(pieces.spans(long))
+    assert sum(r.src == "chapters" and r.row_id == 1 for r in got) == n == sum(r.src == "paper_pipeline" for r in got) and sum(r.row_id is None for r in got) == 2 * n
+
+
 TEXTS = ["", None, "plain words, don't 12½", "日本語 ａｂｃ é́ 👍🏽", "\x1c\x1d a\x85b　c  d\n\n e", " \n \n  \xa0 \x85 a", "<|endoftext|>", "x" * 3000, "a" * 40 + " " * 40]
 
 
