@@ -19,6 +19,19 @@ FLUSH = 300_000
 STEPS = 8
 
 
+_built: dict = {}
+
+
+def built(shared, build: Callable):
+    """What `build` makes of a broadcast's value, made once in each worker; the last one is kept, with the value, for an
+    id stands for another value once the first is gone."""
+    value = shared.value
+    if _built.get("of") is not value or _built.get("by") is not build:
+        _built.clear()
+        _built.update(of=value, by=build, made=build(value))
+    return _built["made"]
+
+
 def sample(df: DataFrame, key: str, columns: dict[str, int], size: int) -> pa.Table:
     """At most `size` rows of the columns, each cut to its number of characters, chosen by a hash of the key.
 

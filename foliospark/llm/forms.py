@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.corpus import common_words
+from foliospark.llm.corpus import built, common_words
 from foliospark.session import table
 
 #: Words in the trie, the commonest of the corpus: bounds what is sent to the workers.
@@ -143,23 +143,13 @@ def vocabulary(df: DataFrame, columns: list[str], size: int = VOCABULARY) -> dic
     return common_words(df, columns, count_latin, lambda w: w, size)
 
 
-_tries: dict[int, Trie] = {}
-
-
-def trie_of(shared) -> Trie:
-    if id(shared.value) not in _tries:
-        _tries.clear()
-        _tries[id(shared.value)] = Trie(shared.value)
-    return _tries[id(shared.value)]
-
-
 def unified(df: DataFrame, columns: list[str], words: dict[str, int] | None = None) -> DataFrame:
     """df with each of the columns in its consistent form. Narrow; only values with a suspect character go to Python."""
     shared = df.sparkSession.sparkContext.broadcast(vocabulary(df, columns) if words is None else words)
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        trie = trie_of(shared)
+        trie = built(shared, Trie)
         for values in batches:
             yield values.map(lambda t: consistent(t, trie))
 

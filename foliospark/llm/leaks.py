@@ -1,57 +1,72 @@
 """Evaluation texts that leak into a corpus of scanned pages, whole or in part.
 
-Test items and pages are folded alike: letters and digits only, and what scanning confuses made equal. All short pieces
-of the items that few items share go into one Aho-Corasick automaton; each page is scanned once. A hit says which item
-may start where; from there the item is followed through the page, over misread letters, broken words, and lines of
-adverts or other columns in between, and the words that it holds in a row are counted, with offsets in the page.
+Test items and pages are folded alike: letters and digits of any script, without case, width and marks, and what scanning
+confuses made equal. All short pieces of all items go into one Aho-Corasick automaton; each page is scanned once. A hit
+says which items may start where; from there each is followed through the page, over misread letters, broken words, and
+lines of adverts or other columns in between, or on to the head of another column, and the words that it holds in a row
+are counted, with offsets in the page. What items share is reported for each of them.
 
 Null and empty texts and items hold nothing. A page that holds an item twice is one row. Repeated rows repeat as they come.
-An item's first sentence (its instruction) and its last (its question) don't count where items that differ beside it share it.
+An item's first sentence (its instruction) and its last (its question) don't count where a share of all items that differ
+beside it have it. In scripts that are written without blanks two characters are a word.
 """
 
 from __future__ import annotations
 
+import math
 import re
+import unicodedata
 from bisect import bisect_left, bisect_right
-from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from foliospark.llm import corpus
 from foliospark.session import spread, table
 
-#: Words in a row that make a leak; different items that share a first or last sentence before it counts as common; items
-#: a seed may belong to.
-WORDS, COMMON, SHARED = 12, 3, 4
+#: Words in a row that make a leak. A first or last sentence is common if this share of all items, and so many at least,
+#: have it beside different sentences.
+WORDS, COMMON, SHARE = 12, 3, 0.02
 #: Characters of a seed, and from one seed to the next.
-SEED, STEP = 14, 2
-#: Lines after a line in which the text may go on, and characters that must agree there.
-NEXT_LINES, AGREE = 15, 6
-#: Characters of items in one automaton. More items are searched for in blocks, one pass each.
+SEED, STEP = 12, 2
+#: Lines after a line in which the text may go on, and characters that must agree there; those at the head of a column
+#: anywhere else in the page.
+NEXT_LINES, AGREE, AGREE_FAR = 15, 6, 8
+#: Characters of items in one automaton: bounds what is broadcast. Longer test sets go in blocks, one scan each, with the
+#: same rows, for items don't depend on each other.
 BLOCK = 20_000_000
 
-# Single characters that scanning confuses, made equal (first pair of lines), the rest is left out.
-SAME = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + b"cfhy1ij05698", b"abcdefghijklmnopqrstuvwxyz" + b"etbvlllosbgb")
+# Single characters that scanning confuses, made equal.
+CONFUSED, EQUAL = "cfhy1ij05698", "etbvlllosbgb"
+SAME = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + CONFUSED.encode(), b"abcdefghijklmnopqrstuvwxyz" + EQUAL.encode())
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-LEFT_OUT = bytes(i for i in range(128) if not chr(i).isalnum())
+LEFT_OUT = bytes(i for i in range(128) if not chr(i).isalnum() and i != 10)
+SAME_TEXT, NO_LETTER = str.maketrans(CONFUSED, EQUAL), re.compile(r"[^\w\n]+|_+")
 # Groups that scanning confuses, in folded form (n ri, d cl, u ii, m rn, in m, li h, w vv).
 GROUPS = (("n", "rl"), ("d", "el"), ("u", "ll"), ("m", "rn"), ("ln", "m"), ("ll", "b"), ("w", "vv"), ("rn", "m"), ("nl", "m"))
 
-# What ends in a full stop before a name.
+# What ends in a full stop before a name, and letters of scripts without blanks between words.
 ABBREVIATED = re.compile(r"(?:^|\W)(?:Mr|Mrs|Ms|Messrs|Mme|Dr|Prof|Rev|Hon|St|Capt|Col|Gen|Lt|Sgt|No|[A-HJ-Z])\.$")
+UNSPACED = "\u3005\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff"
+UNIT = re.compile(f"[{UNSPACED}]{{1,2}}|[^\\s{UNSPACED}]+")
+STOP = re.compile(r"(?<=[.?!])\s+|(?<=[。！？])\s*")
 
 
 def folded(text: str) -> str:
-    return text.encode("ascii", "ignore").translate(LOWER).translate(SAME, LEFT_OUT).decode("ascii")
+    """Letters and digits in their folded form, and line ends."""
+    if text.isascii():
+        return text.encode().translate(LOWER).translate(SAME, LEFT_OUT).decode()
+    return NO_LETTER.sub("", unicodedata.normalize("NFKD", text).casefold()).translate(SAME_TEXT)
 
 
 def sentences(text: str) -> list[str]:
     """Cut after full stops, but not after those of titles before names and of initials."""
     out: list[str] = []
-    for s in re.split(r"(?<=[.?!])\s+", text.strip()):
+    for s in STOP.split(text.strip()):
         if out and ABBREVIATED.search(out[-1]):
             out[-1] += " " + s
         elif s:
@@ -60,57 +75,75 @@ def sentences(text: str) -> list[str]:
 
 
 class Item:
-    """The words of an item that count, as parts in which they follow each other, folded, with their starts and ends."""
-
-    def __init__(self, key: int, parts: list[list[str]]):
-        self.key, self.parts = key, []
-        for words in parts:
-            text, ends, starts = "", [], []
-            for w in words:
-                if f := folded(w):
-                    starts.append(len(text))
-                    text += f
-                    ends.append(len(text))
-            if len(starts) >= 1:
-                self.parts.append((text, text[::-1], starts, ends))
-
-
-def items_of(rows: list[tuple[int, str | None]], least: int = WORDS) -> list[Item]:
-    """Items without the instruction that opens them and the question that ends them, where COMMON different items have
-    these, and without items too short to leak. What stands between is one part, whatever items share in it."""
-    after: dict[str, set[str]] = {}
-    before: dict[str, set[str]] = {}
-    split = {}
-    for key, text in rows:
-        split[key] = x = sentences(text or "")
-        if len(x) > 1:
-            after.setdefault(folded(x[0]), set()).add(folded(x[1]))
-            before.setdefault(folded(x[-1]), set()).add(folded(x[-2]))
-    common = lambda s, beside: len(s.split()) >= 4 and len(beside.get(folded(s), ())) >= COMMON
+    """The words of an item that count, in one row, folded, with their starts and ends."""
+
+    def __init__(self, key: int, words: list[str]):
+        self.key, self.starts, self.ends = key, [], []
+        text = ""
+        for w in words:
+            if f := folded(w):
+                self.starts.append(len(text))
+                text += f
+                self.ends.append(len(text))
+        self.text, self.back = text, text[::-1]
+
+
+def edges(text: str | None) -> list[tuple[str, str]]:
+    """The first and the last sentence, each folded, with what stands beside it; of single sentences none."""
+    x = sentences(text or "")
+    return [("f" + folded(x[0]), folded(x[1])), ("l" + folded(x[-1]), folded(x[-2]))] if len(x) > 1 else []
+
+
+def common_edges(rows: list[tuple[int, str | None]]) -> frozenset[str]:
+    """What common_of gives, for a list."""
+    beside: dict[str, set[str]] = {}
+    for _, text in rows:
+        for edge, other in edges(text):
+            beside.setdefault(edge, set()).add(other)
+    least = max(COMMON, math.ceil(SHARE * len(rows)))
+    return frozenset(e for e, others in beside.items() if len(others) >= least)
+
+
+def common_of(tests: DataFrame, text: str) -> frozenset[str]:
+    """The first and last sentences that a share of all items have, beside different ones; at most 2 / SHARE, or the
+    few of a small test set. Counted over all items, in the cluster."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [e for t in batch.column(0).to_pylist() for e in edges(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.string()) for k in (0, 1)], names=["edge", "beside"])
+
+    least = max(COMMON, math.ceil(SHARE * tests.count()))
+    found = tests.select(text).mapInArrow(run, "edge string, beside string").groupBy("edge").agg(F.count_distinct("beside").alias("n"))
+    return frozenset(r.edge for r in found.where(F.col("n") >= least).select("edge").collect())
+
+
+def items_of(rows: list[tuple[int, str | None]], least: int = WORDS, common: frozenset[str] | None = None) -> list[Item]:
+    """Items without the common instruction that opens them and the common question that ends them, and without items
+    too short to leak. What stands between is in one row, whatever items share in it."""
+    common = common_edges(rows) if common is None else common
     out = []
-    for key, _ in rows:
-        x = split[key]
-        if x and common(x[0], after):
+    for key, text in rows:
+        x = sentences(text or "")
+        if len(x) > 1 and len(UNIT.findall(x[0])) >= 4 and "f" + folded(x[0]) in common:
             x = x[1:]
-        if x and common(x[-1], before):
+        if x and len(UNIT.findall(x[-1])) >= 4 and "l" + folded(x[-1]) in common:
             x = x[:-1]
-        words = " ".join(x).split()
-        item = Item(key, [words] if len(words) >= least else [])
-        if item.parts:
+        item = Item(key, UNIT.findall(" ".join(x)))
+        if len(item.ends) >= least:
             out.append(item)
     return out
 
 
 def automaton(items: list[Item]) -> ahocorasick.Automaton:
-    """All seeds that at most SHARED items have, with where they stand."""
-    where: dict[str, list[tuple[int, int, int]]] = {}
+    """All seeds, with the items and places that have them."""
+    where: dict[str, list[tuple[int, int]]] = {}
     for i, item in enumerate(items):
-        for j, (text, *_) in enumerate(item.parts):
-            for p in range(0, max(1, len(text) - SEED + 1), STEP):
-                where.setdefault(text[p : p + SEED], []).append((i, j, p))
+        for p in range(0, max(1, len(item.text) - SEED + 1), STEP):
+            where.setdefault(item.text[p : p + SEED], []).append((i, p))
     a = ahocorasick.Automaton()
     for seed, at in where.items():
-        if len(seed) == SEED and len({i for i, _, _ in at}) <= SHARED:
+        if len(seed) == SEED:
             a.add_word(seed, tuple(at))
     a.make_automaton()
     return a
@@ -164,115 +197,134 @@ def begins(c: str, p: int, line: str, groups: dict) -> bool:
     return line[0] == first or any(line.startswith(b) for _, b in groups.get(first, ())) or line[1:6] == c[p + 1 : p + 6] or line[1:6] == c[p : p + 5] or line[:5] == c[p + 1 : p + 6]
 
 
-def onward(c: str, p: int, lines: list[str], at: int, k: int, step: int, groups: tuple) -> tuple[int, int, int]:
-    """Follows c from p through the lines, from character k of line `at`; (p, line, character) where it stops."""
-    n = len(lines)
-    while True:
-        p, k = follow(c, p, lines[at], k, groups)
-        if p >= len(c) or k < len(lines[at]):
-            return p, at, k
-        for nxt in range(at + step, at + step * (NEXT_LINES + 1), step):
-            if not 0 <= nxt < n:
-                return p, at, k
-            line = lines[nxt]
-            if not line or not begins(c, p, line, groups):
-                continue
-            need = min(AGREE, len(c) - p, len(line))
-            x, y = follow(c, p, line, 0, groups)
-            if x - p >= need and (need >= 3 or len(c) - p < 3):
-                p, at, k = x, nxt, y
-                break
-        else:
-            return p, at, k
+class Page:
+    """The lines of a page, folded, and where each of them begins with what."""
+
+    def __init__(self, lines: list[str]):
+        self.lines = lines
+        self.heads: dict[str, list[int]] | None = None
+
+    def far(self, c: str, p: int) -> tuple[int, ...] | list[int]:
+        """The lines that begin with what follows in c."""
+        if self.heads is None:
+            self.heads = {}
+            for n, line in enumerate(self.lines):
+                self.heads.setdefault(line[:AGREE_FAR], []).append(n)
+        return self.heads.get(c[p : p + AGREE_FAR], ()) if p + AGREE_FAR <= len(c) else ()
+
+    def onward(self, c: str, p: int, at: int, k: int, step: int, groups: dict) -> tuple[int, int, int, int, int]:
+        """Follows c from p through the lines, from character k of line `at`: where it stops in c, line and character
+        there, and the first and last line it came through."""
+        lines, low, high = self.lines, at, at
+        n = len(lines)
+        while True:
+            p, k = follow(c, p, lines[at], k, groups)
+            if p >= len(c) or k < len(lines[at]):
+                return p, at, k, low, high
+            found = None
+            for nxt in range(at + step, at + step * (NEXT_LINES + 1), step):
+                if not 0 <= nxt < n:
+                    break
+                line = lines[nxt]
+                if not line or not begins(c, p, line, groups):
+                    continue
+                need = min(AGREE, len(c) - p, len(line))
+                x, y = follow(c, p, line, 0, groups)
+                if x - p >= need and (need >= 3 or len(c) - p < 3):
+                    found = x, nxt, y
+                    break
+            if found is None:  # the head of another column, above or far below
+                far = [(follow(c, p, lines[r], 0, groups), r) for r in self.far(c, p) if r != at]
+                if not far:
+                    return p, at, k, low, high
+                (x, y), nxt = max(far, key=lambda f: (f[0][0], -abs(f[1] - at)))
+                found = x, nxt, y
+            p, at, k = found
+            low, high = min(low, at), max(high, at)
 
 
 def leaks(text: str, items: list[Item], seeds: ahocorasick.Automaton, least: int = WORDS) -> list[tuple[int, int, int, int]]:
-    """(item, words in a row, start and end in the text) of each item that leaks into the text."""
+    """(item, words in a row, first and last place in the text) of each item that leaks into the text."""
     if not len(seeds):
         return []
-    whole = folded(text)
-    hits = list(seeds.iter(whole))
+    lines = folded(text).split("\n")
+    hits = list(seeds.iter("".join(lines)))
     if not hits:
         return []
-    raw = text.split("\n")
-    lines = [folded(x) for x in raw]
-    begins = [0]
+    first = [0]
     for x in lines:
-        begins.append(begins[-1] + len(x))
-    back = [x[::-1] for x in lines]
+        first.append(first[-1] + len(x))
+    page, back = Page(lines), Page([x[::-1] for x in lines])
     best: dict[int, tuple[int, tuple, tuple]] = {}
-    done: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
+    done: dict[int, list[tuple[int, int, int, int]]] = {}
     for end, at in hits:
         begin = end - SEED + 1
-        row = bisect_right(begins, begin) - 1
-        while begins[row + 1] <= begin:
-            row += 1
-        k = begin - begins[row]
-        for i, j, p in at:
-            if any(a <= p < b and r0 <= row <= r1 for a, b, r0, r1 in done.get((i, j), ())):
+        row = bisect_right(first, begin) - 1
+        k = begin - first[row]
+        for i, p in at:
+            if i in done and any(a <= p < b and r0 <= row <= r1 for a, b, r0, r1 in done[i]):
                 continue
-            c, rc, starts, ends = items[i].parts[j]
-            q, row1, k1 = onward(c, p, lines, row, k, 1, FORWARD)
-            rp, row0, rk0 = onward(rc, len(c) - p, back, row, len(lines[row]) - k, -1, BACKWARD)
-            low = len(c) - rp
-            done.setdefault((i, j), []).append((low, q, row0, row1))
-            n = bisect_right(ends, q) - bisect_left(starts, low)
-            if n > best.get(i, (0,))[0]:
-                best[i] = (n, (row0, len(lines[row0]) - rk0), (row1, k1))
-    out = []
-    for i, (n, first, last) in best.items():
+            item = items[i]
+            n = len(item.text)
+            q, row1, k1, low1, high1 = page.onward(item.text, p, row, k, 1, FORWARD)
+            rp, row0, k0, low0, high0 = back.onward(item.back, n - p, row, len(lines[row]) - k, -1, BACKWARD)
+            low = n - rp
+            done.setdefault(i, []).append((low, q, min(low0, low1), max(high0, high1)))
+            words = bisect_right(item.ends, q) - bisect_left(item.starts, low)
+            if words > best.get(i, (0,))[0]:
+                best[i] = (words, (row0, len(lines[row0]) - k0), (row1, k1))
+    out, raw = [], text.split("\n")
+    for i, (n, a, b) in best.items():
         if n >= least:
-            out.append((items[i].key, n, original(raw, *first), original(raw, *last)))
+            a, b = original(raw, *a), original(raw, *b)
+            out.append((items[i].key, n, min(a, b), max(a, b)))
     return sorted(out)
 
 
 def original(raw: list[str], row: int, k: int) -> int:
     """The offset in the text of folded character k of a line."""
-    kept = [i for i, ch in enumerate(raw[row]) if ch.isascii() and ch.isalnum()]
-    inside = kept[k] if k < len(kept) else len(raw[row])
-    return sum(len(x) + 1 for x in raw[:row]) + inside
-
+    at = sum(len(x) + 1 for x in raw[:row])
+    for i, c in enumerate(raw[row]):
+        n = len(folded(c))
+        if n > k:
+            return at + i
+        k -= n
+    return at + len(raw[row])
 
-_built: dict[int, tuple] = {}
 
-
-def built(shared) -> tuple[list[Item], ahocorasick.Automaton]:
-    if id(shared.value) not in _built:
-        _built.clear()
-        items = items_of(shared.value)
-        _built[id(shared.value)] = (items, automaton(items))
-    return _built[id(shared.value)]
+def searched(value: tuple[list, frozenset[str]]) -> tuple[list[Item], ahocorasick.Automaton]:
+    """The items and the automaton of a broadcast block."""
+    items = items_of(value[0], WORDS, value[1])
+    return items, automaton(items)
 
 
 def leaked(pages: DataFrame, key: str, text: str, tests: DataFrame, item: str, item_text: str) -> DataFrame:
-    """(key, item, words, from, to) of each page and each item it holds. Narrow over the pages; the items, in blocks of
-    bounded size, are broadcast and each worker builds its automaton once."""
+    """(key, item, words, from, to) of each page and each item it holds, with the first and last place of it.
+
+    Narrow over the pages; the items are broadcast, in blocks of bounded size that come to the driver one at a time, and
+    each worker builds its automaton once."""
     spark = pages.sparkSession
-    rows = [(r[0], r[1]) for r in tests.select(item, item_text).toLocalIterator()]
-    blocks, size = [[]], 0
-    for r in rows:
-        if size > BLOCK:
-            blocks.append([])
-            size = 0
-        blocks[-1].append(r)
-        size += len(r[1] or "")
+    size = tests.agg(F.coalesce(F.sum(F.length(item_text)), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // BLOCK))
+    common = common_of(tests, item_text)
     kind, kind2 = (df.schema[c].dataType.simpleString() for df, c in ((pages, key), (tests, item)))
+    ids = tests.schema[item].dataType
     out = None
-    for block in blocks:
-        shared = spark.sparkContext.broadcast(block)
+    for block in range(blocks):
+        mine = tests.where(F.pmod(F.xxhash64(item), F.lit(blocks)) == block) if blocks > 1 else tests
+        shared = spark.sparkContext.broadcast(([(r[0], r[1]) for r in mine.select(item, item_text).collect()], common))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items, seeds = built(shared)
+            items, seeds = corpus.built(shared, searched)
             for batch in batches:
                 keys, found = batch.column(0), []
                 for n, t in enumerate(batch.column(1)):
                     if t := t.as_py():
                         found += [(n, *x) for x in leaks(t, items, seeds)]
                 at, ids, words, a, b = zip(*found) if found else [()] * 5
-                yield pa.RecordBatch.from_arrays(
-                    [keys.take(pa.array(at, pa.int64())), pa.array(ids, pa.int64()), pa.array(words, pa.int32()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=[key, item, "words", "from", "to"]
-                )
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), pa.array(ids, id_type), pa.array(words, pa.int32()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=[key, item, "words", "from", "to"])
 
+        id_type = to_arrow_type(ids)
         part = pages.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, `{item}` {kind2}, words int, `from` int, `to` int")
         out = part if out is None else out.unionByName(part)
     return out

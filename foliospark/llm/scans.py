@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.corpus import common_words
+from foliospark.llm.corpus import built, common_words
 from foliospark.llm.forms import FOREIGN, LETTERS, one_script
 from foliospark.session import spread, table
 
@@ -598,23 +598,12 @@ def vocabulary(df: DataFrame, text: str = "text", size: int = VOCABULARY) -> dic
     return common_words(df, [text], count_words, plain, size)
 
 
-_languages: dict[int, Language] = {}
-
-
-def language_of(shared) -> Language:
-    """The language model of a broadcast, built once in each worker."""
-    if id(shared.value) not in _languages:
-        _languages.clear()
-        _languages[id(shared.value)] = Language(shared.value)
-    return _languages[id(shared.value)]
-
-
 def repair(df: DataFrame, what: str, vocab: dict[str, int] | None = None) -> DataFrame:
     """what: "defects" (src, row_id, line_no, defect, word) or "paragraphs" (src, row_id, para_no, paragraph)."""
     shared = df.sparkSession.sparkContext.broadcast(vocabulary(df) if vocab is None else vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        language = language_of(shared)
+        language = built(shared, Language)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 src, key, title, text = (c.to_pylist() for c in batch.slice(start, 256).columns)

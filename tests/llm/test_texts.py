@@ -210,13 +210,63 @@ def test_shared_text_inside_an_item_counts():
     same = "The warehouse of Mineka had cost its owner ninety three crowns before the fair. Nobody in the parish would say why it was so dear."
     rows += [(k, f"{same} Is this {x}?") for k, x in enumerate(("true", "false", "known"), 11)]
     items = leaks.items_of(rows)
-    assert [(i.key, len(i.parts), len(i.parts[0][2])) for i in items[:3]] == [(1, 1, 25), (2, 1, 25), (3, 1, 25)] and [i.key for i in items[3:]] == [11, 12, 13]
+    assert [(i.key, len(i.starts)) for i in items[:3]] == [(1, 25), (2, 25), (3, 25)] and [i.key for i in items[3:]] == [11, 12, 13]
     seeds = leaks.automaton(items)
     assert [(k, n) for k, n, _, _ in leaks.leaks(f"Some page. {' '.join(rang.format('Kitobo', 'quarry', 'cattle').split()[:14])} and so on", items, seeds)] == [(1, 14)]
     assert [k for k, *_ in leaks.leaks(same, items, seeds)] == [11, 12, 13]
     assert leaks.leaks("Read the notice and answer the question below. What was the sum given?", items, seeds) == []
 
 
+SHARED = "The warehouse of Mineka had cost its owner ninety three crowns before the fair and nobody would say why."
+
+
+def test_passages_that_many_items_share_leak_for_each(spark, monkeypatch):
+    rows = [(k, f"The {a} of {b} rose early that day. {SHARED} Was it {c}?") for k, (a, b, c) in enumerate((("mayor", "Koda", "true"), ("miller", "Sato", "false"), ("baker", "Rimo", "known"), ("clerk", "Tano", "told"), ("judge", "Bodo", "sold")))]
+    pages = spark.createDataFrame([(1, f"Some page. {SHARED} And so on.")], "doc_id long, text string")
+    tests = spark.createDataFrame([*rows, (9, "An item of its own that shares nothing with the rest but must be found in its block.")], "item_id long, text string")
+    for block in (20_000_000, 250, 10):
+        monkeypatch.setattr(leaks, "BLOCK", block)
+        got = leaks.leaked(pages, "doc_id", "text", tests, "item_id", "text").collect()
+        assert sorted((r.item_id, r.words) for r in got) == [(k, 19) for k in range(5)]
+
+
+def test_equal_items_leak_alike():
+    items = leaks.items_of([(k, ITEM) for k in range(4)] + OTHERS)
+    assert [k for k, *_ in leaks.leaks(LEAK, items, leaks.automaton(items))] == [0, 1, 2, 3]
+
+
+def test_common_edges_are_a_share_of_all_items(spark):
+    rows = [(k, f"Read it. {'x' * (k + 1)} is here.") for k in range(400)] + [(1000 + k, f"Seldom read so. {'y' * (k + 1)} is here.") for k in range(5)]
+    assert leaks.common_edges(rows) == {"f" + leaks.folded("Read it.")}
+    assert leaks.common_of(spark.createDataFrame(rows, "i long, text string"), "text") == leaks.common_edges(rows)
+
+
+def test_leaks_in_any_script():
+    texts = {
+        1: "村の市場では毎年秋になると新しい橋の建設をめぐって住民と役人とのあいだに激しい議論が起こった。",
+        2: "Старый мельник из деревни каждую осень продавал семь медных котлов вдове перед открытием узкого моста.",
+        3: "Der müde Müller aus Tübingen verkaufte jeden Herbst sieben große kupferne Kessel an die ärmste Witwe der Straße.",
+        4: "Le meunier âgé vendait chaque été sept chaudrons de cuivre à la veuve près de l'étroit pont où l'on péchait.",
+    }
+    items = leaks.items_of(list(texts.items()))
+    seeds = leaks.automaton(items)
+    assert len(items) == 4
+    for k, t in texts.items():
+        for page in (t, f"x\n{t[:30]}\n{t[30:]}\nあれ y", t.upper()):
+            found = leaks.leaks(page, items, seeds)
+            assert [i for i, *_ in found] == [k] and page[found[0][2] :].startswith(t.split()[0][:2].upper() if page == t.upper() else t[:2])
+
+
+def test_an_item_goes_on_at_the_head_of_another_column():
+    items = leaks.items_of([(1, ITEM), *OTHERS])
+    seeds = leaks.automaton(items)
+    words = LEAK.split()
+    other = [f"Line {k} of another matter altogether" for k in range(40)]
+    text = "\n".join([" ".join(words[8:16]), *other, " ".join(words[:8])])
+    assert [(k, n) for k, n, _, _ in leaks.leaks(text, items, seeds)] == [(1, 16)]
+    assert leaks.leaks("\n".join([" ".join(words[9:16]), *other, " ".join(words[:8])]), items, seeds) == []
+
+
 def test_leaks_of_a_table(spark):
     pages = spark.createDataFrame([(1, LEAK, "c"), (1, LEAK, "c"), (2, None, "c"), (3, "", "c"), (4, OTHERS[0][1] + " " + LEAK.upper() + " x" * 50_000, "c")], "doc_id long, text string, words string")
     tests = spark.createDataFrame([(1, ITEM), *OTHERS, (7, None)], "item_id long, text string")
