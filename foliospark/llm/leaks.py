@@ -20,6 +20,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -135,18 +136,183 @@ def items_of(rows: list[tuple[int, str | None]], least: int = WORDS, common: fro
     return out
 
 
-def automaton(items: list[Item]) -> ahocorasick.Automaton:
-    """All seeds, with the items and places that have them."""
-    where: dict[str, list[tuple[int, int]]] = {}
-    for i, item in enumerate(items):
-        for p in range(0, max(1, len(item.text) - SEED + 1), STEP):
-            where.setdefault(item.text[p : p + SEED], []).append((i, p))
-    a = ahocorasick.Automaton()
-    for seed, at in where.items():
-        if len(seed) == SEED:
-            a.add_word(seed, tuple(at))
-    a.make_automaton()
-    return a
+#: Characters to either side of a seed that are compared at once for all its places; characters of pages in one go.
+REACH, AT_ONCE = 24, 200_000
+#: Between texts that are put in one row; more than any place looks ahead.
+PAD = REACH + 16
+#: How a text may go on after a character that differs: replaced, put in, left out; one for two, two for one.
+SLIPS, TWOS = ((1, 1), (0, 1), (1, 0)), ((1, 2), (2, 1))
+
+
+class Seeds:
+    """One automaton of all seeds of all items, and the places that have them, in one row of all items' texts."""
+
+    def __init__(self, items: list[Item]):
+        self.found = ahocorasick.Automaton()
+        where: dict[str, list[int]] = {}
+        self.offsets, at = [], PAD
+        for item in items:
+            self.offsets.append(at)
+            for p in range(0, max(1, len(item.text) - SEED + 1), STEP):
+                where.setdefault(item.text[p : p + SEED], []).append(at + p)
+            at += len(item.text) + PAD
+        self.text = np.zeros(at, np.uint16)
+        self.owner = np.zeros(at, np.int32)
+        ended, begun = np.zeros(at + 1, np.int32), np.zeros(at + 1, np.int32)
+        for i, (o, item) in enumerate(zip(self.offsets, items)):
+            self.text[o : o + len(item.text)] = codes(item.text)
+            self.owner[o : o + len(item.text)] = i
+            ended[np.array(item.ends, np.int64) + o] = 1
+            begun[np.array(item.starts, np.int64) + o + 1] = 1
+        self.back = self.text[::-1].copy()
+        self.ended, self.begun = np.cumsum(ended), np.cumsum(begun)  # words that end up to a place, and that begin before it
+        places: list[int] = []
+        self.first = [0]
+        for seed, ps in where.items():
+            if len(seed) == SEED:
+                self.found.add_word(seed, len(self.first) - 1)
+                places += ps
+                self.first.append(len(places))
+        self.places, self.first = np.array(places, np.int64), np.array(self.first, np.int64)
+        self.found.make_automaton()
+
+    def __len__(self) -> int:
+        return len(self.found)
+
+    def hits(self, pages: list[list[str]]) -> list[list[tuple[int, int, int, int, int]]]:
+        """Of each page (place, item, place in it, where the item ends to agree, where it begins to) of the seeds on it
+        that may be in a leak; -1 for an end that isn't known yet.
+
+        All places of all seeds are compared at once with the pages, up to the first character that differs on either
+        side. A place stays out only where the text can go on there on neither side, by no slip, confusion or other
+        line, and has too few words by then: where following it would end at once as well."""
+        out: list[list[tuple[int, int, int]]] = [[] for _ in pages]
+        met, starts, at = [], [], PAD
+        for k, lines in enumerate(pages):
+            whole = "".join(lines)
+            starts.append(at)
+            met += [(end + at, seed, k) for end, seed in self.found.iter(whole)] if len(self) else []
+            at += len(whole) + PAD
+        if not met:
+            return out
+        ends, ids, of_page = np.array(met).T
+        n = self.first[ids + 1] - self.first[ids]
+        of = np.repeat(np.arange(len(ids)), n)
+        place = self.places[np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + self.first[ids][of]]
+        begin, of_page = ends[of] - SEED + 1, of_page[of]
+        # seeds that follow each other at one distance are one stretch: the first stands for it
+        order = np.lexsort((begin, begin - place))
+        same = (np.diff(begin[order] - place[order]) == 0) & (np.diff(begin[order]) <= STEP)
+        kept = np.sort(order[np.concatenate(([True], ~same))])
+        begin, place, of_page = begin[kept], place[kept], of_page[kept]
+        layout = Layout(pages, starts, at)
+        right, alive = may_go_on(self.text, layout, begin, place, FIRST_FORWARD)
+        n, m = len(self.text) - 1, len(layout.text) - 1
+        left, more = may_go_on(self.back, layout.reverse(), m - (begin + SEED - 1), n - (place + SEED - 1), FIRST_BACKWARD)
+        enough = self.ended[place + right] - self.begun[place + SEED - left] >= WORDS
+        stops = np.where(alive | enough, -1, place + right), np.where(more | enough, -1, place + SEED - left)
+        kept = alive | more | enough
+        for b, p, q, low, k in zip(*(x[kept].tolist() for x in (begin, place, *stops, of_page))):
+            i = int(self.owner[p])
+            o = self.offsets[i]
+            out[k].append((b - starts[k], i, p - o, q - o if q >= 0 else -1, low - o if low >= 0 else -1))
+        return out
+
+
+class Layout:
+    """Pages in one row of characters, with the starts and lengths of their lines. Between pages stand empty lines, more
+    than any place looks ahead."""
+
+    def __init__(self, pages: list[list[str]], starts: list[int], size: int):
+        self.text = np.ones(size, np.uint16)
+        first, length, page = [], [], []
+        for k, (lines, at) in enumerate(zip(pages, starts)):
+            whole = "".join(lines)
+            self.text[at : at + len(whole)] = codes(whole)
+            blank = [0] * (NEXT_LINES + 1)
+            lengths = [*blank, *map(len, lines), *blank]
+            first += [at, *(np.cumsum(lengths[:-1]) + at).tolist()]
+            length += lengths
+            page += [k] * len(lengths)
+        self.first, self.length, self.page = np.array(first), np.array(length), np.array(page)
+
+    def reverse(self) -> Layout:
+        out = object.__new__(Layout)
+        out.text, out.length, out.page = self.text[::-1], self.length[::-1], self.page[::-1]
+        out.first = (len(self.text) - (self.first + self.length))[::-1]
+        return out
+
+    def row(self, at: np.ndarray) -> np.ndarray:
+        """The line of each place: the last that begins there or before; of places at a page's end an empty one."""
+        return np.searchsorted(self.first, at, "right") - 1
+
+
+def gram(text: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """A number for the n characters from each place on."""
+    out = np.zeros(at.shape, np.uint64)
+    for k in range(n):
+        out = out * np.uint64(0x9E3779B1) + text[np.minimum(at + k, len(text) - 1)]
+    return out
+
+
+def may_go_on(text: np.ndarray, layout: Layout, begin: np.ndarray, place: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many characters of the items' row from `place` agree with the pages from `begin`, and whether `onward` might
+    go on after them; true rather too often than too seldom."""
+    page, out, on = layout.text, np.full(len(begin), REACH + SEED), np.ones(len(begin), bool)
+    at = np.arange(len(begin))
+    for low, high in ((SEED, SEED + 4), (SEED + 4, SEED + REACH)):  # most differ soon
+        if len(at):
+            k = np.arange(low, high)
+            same = page[begin[at][:, None] + k] == text[place[at][:, None] + k]
+            ended = ~same.all(axis=1)
+            out[at[ended]] = low + np.argmin(same[ended], axis=1)
+            on[at[ended]] = False
+            at = at[~ended]
+    at = np.flatnonzero(~on)  # those that differ somewhere
+    x, y = place[at] + out[at], begin[at] + out[at]
+    go = text[x] != 0  # else the item ends there
+    at, x, y = at[go], x[go], y[go]
+    go = np.zeros(len(at), bool)
+    for a, b in (*SLIPS, *TWOS):
+        go |= gram(text, x + a, 3) == gram(page, y + b, 3)
+    row = layout.row(y)
+    confused = first[text[x] & 127, page[y] & 127]
+    rest = layout.first[row] + layout.length[row] - y
+    go |= confused & ((rest < 6) | (text[x + 6] == 0) | (text[x + 3] == 0))
+    # where a line ended not long before, another line may begin with what follows in the item
+    cut = layout.first[row]
+    crossed = ~go & (cut > begin[at])
+    before = layout.row(np.maximum(cut - 1, 0))
+    go |= crossed & ((layout.first[before] > begin[at]) | (text[x - (y - cut) + 8] == 0))  # short lines between, or the item's end: look
+    near = np.flatnonzero(crossed & ~go & (y - cut < 8))
+    if len(near):
+        c, r0 = x[near] - (y[near] - cut[near]), before[near]
+        heads = gram(page, layout.first, AGREE_FAR) + layout.page.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        heads = heads[layout.length >= AGREE_FAR]
+        found = np.isin(gram(text, c, AGREE_FAR) + layout.page[r0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), heads)
+        rows = np.minimum(r0[:, None] + np.arange(1, NEXT_LINES + 1), len(layout.first) - 1)
+        length = layout.length[rows]
+        g3, g5 = ([gram(page, layout.first + o, n) for o in range(5)] for n in (3, 5))
+        own = [gram(text, c + o, n) for n in (3, 5) for o in range(5)]
+        hit = (length > 0) & (g3[0][rows] == own[0][:, None])
+        for j in range(3):
+            for a, b in SLIPS:
+                hit |= (g5[j + b][rows] == own[5 + j + a][:, None]) & (length >= j + b + 5)
+                hit |= (length < j + b + 5) & (length >= j + b + 3) & (g3[j + b][rows] == own[j + a][:, None])
+            two = first[(text[c + j] & 127)[:, None], (page[np.minimum(layout.first + j, len(page) - 1)] & 127)[rows]]
+            for a, b in TWOS:
+                hit |= two & (length > j) & ((g3[j + b][rows] == own[j + a][:, None]) | (length < j + b + 3))
+        go[near] = found | hit.any(axis=1)
+    on[at] = go
+    return out, on
+
+
+def codes(s: str) -> np.ndarray:
+    return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint16)
+
+
+def automaton(items: list[Item]) -> Seeds:
+    return Seeds(items)
 
 
 def by_first(groups) -> dict[str, tuple[tuple[str, str], ...]]:
@@ -158,6 +324,18 @@ BACKWARD = by_first([(a[::-1], b[::-1]) for a, b in GROUPS])
 STRIDE = 8
 
 
+def firsts(groups: dict) -> np.ndarray:
+    """Whether a confused group may begin with a character where another one stands."""
+    out = np.zeros((128, 128), bool)
+    for c, pairs in groups.items():
+        for _, b in pairs:
+            out[ord(c), ord(b[0])] = True
+    return out
+
+
+FIRST_FORWARD, FIRST_BACKWARD = firsts(FORWARD), firsts(BACKWARD)
+
+
 def follow(c: str, p: int, line: str, k: int, groups: dict) -> tuple[int, int]:
     """How far c from p and line from k go together: over equal characters, confused groups and single slips."""
     slips, nc, nl = 0, len(c), len(line)
@@ -191,43 +369,56 @@ def follow(c: str, p: int, line: str, k: int, groups: dict) -> tuple[int, int]:
     return p, k
 
 
-def begins(c: str, p: int, line: str, groups: dict) -> bool:
-    """Whether the line may begin with what follows in c: an equal character, a confused group, or a slip in the first."""
-    first = c[p]
-    return line[0] == first or any(line.startswith(b) for _, b in groups.get(first, ())) or line[1:6] == c[p + 1 : p + 6] or line[1:6] == c[p : p + 5] or line[:5] == c[p + 1 : p + 6]
-
-
 class Page:
-    """The lines of a page, folded, and where each of them begins with what."""
+    """The lines of a page, folded, and where in it lines begin so."""
 
     def __init__(self, lines: list[str]):
         self.lines = lines
-        self.heads: dict[str, list[int]] | None = None
+        self.heads: tuple[dict[str, list[int]], ...] | None = None
+
+    def indexed(self) -> tuple[dict[str, list[int]], ...]:
+        """Lines by their first character, their first two, their first five, those after the first, and a far head."""
+        out: tuple[dict[str, list[int]], ...] = ({}, {}, {}, {}, {})
+        one, two, five, later, far = out
+        for n, line in enumerate(self.lines):
+            if line:
+                one.setdefault(line[0], []).append(n)
+                two.setdefault(line[:2], []).append(n)
+                five.setdefault(line[:5], []).append(n)
+                later.setdefault(line[1:6], []).append(n)
+                far.setdefault(line[:AGREE_FAR], []).append(n)
+        return out
+
+    def next_lines(self, c: str, p: int, at: int, step: int, groups: dict) -> list[int]:
+        """The NEXT_LINES lines after `at` that may begin with what follows in c, the nearest first: by an equal
+        character, a confused group, or a slip in the first."""
+        if self.heads is None:
+            self.heads = self.indexed()
+        one, two, five, later, _ = self.heads
+        first, rest, low, high = c[p], c[p + 1 : p + 6], at + min(step, step * NEXT_LINES), at + max(step, step * NEXT_LINES)
+        found = one.get(first, ())
+        found = found[bisect_left(found, low) : bisect_right(found, high)] if found else []
+        for rows in (later.get(rest, ()), later.get(c[p : p + 5], ()), five.get(rest, ()), *((one if len(b) == 1 else two).get(b, ()) for _, b in groups.get(first, ()))):
+            for r in rows:
+                if low <= r <= high and r not in found:
+                    found.append(r)
+        return sorted(found, reverse=step < 0) if len(found) > 1 else found
 
     def far(self, c: str, p: int) -> tuple[int, ...] | list[int]:
-        """The lines that begin with what follows in c."""
-        if self.heads is None:
-            self.heads = {}
-            for n, line in enumerate(self.lines):
-                self.heads.setdefault(line[:AGREE_FAR], []).append(n)
-        return self.heads.get(c[p : p + AGREE_FAR], ()) if p + AGREE_FAR <= len(c) else ()
+        """The lines anywhere that begin with what follows in c."""
+        return self.heads[4].get(c[p : p + AGREE_FAR], ()) if p + AGREE_FAR <= len(c) else ()
 
     def onward(self, c: str, p: int, at: int, k: int, step: int, groups: dict) -> tuple[int, int, int, int, int]:
         """Follows c from p through the lines, from character k of line `at`: where it stops in c, line and character
         there, and the first and last line it came through."""
         lines, low, high = self.lines, at, at
-        n = len(lines)
         while True:
             p, k = follow(c, p, lines[at], k, groups)
             if p >= len(c) or k < len(lines[at]):
                 return p, at, k, low, high
             found = None
-            for nxt in range(at + step, at + step * (NEXT_LINES + 1), step):
-                if not 0 <= nxt < n:
-                    break
+            for nxt in self.next_lines(c, p, at, step, groups):
                 line = lines[nxt]
-                if not line or not begins(c, p, line, groups):
-                    continue
                 need = min(AGREE, len(c) - p, len(line))
                 x, y = follow(c, p, line, 0, groups)
                 if x - p >= need and (need >= 3 or len(c) - p < 3):
@@ -243,36 +434,59 @@ class Page:
             low, high = min(low, at), max(high, at)
 
 
-def leaks(text: str, items: list[Item], seeds: ahocorasick.Automaton, least: int = WORDS) -> list[tuple[int, int, int, int]]:
+def leaks(text: str, items: list[Item], seeds: Seeds, least: int = WORDS) -> list[tuple[int, int, int, int]]:
     """(item, words in a row, first and last place in the text) of each item that leaks into the text."""
-    if not len(seeds):
-        return []
-    lines = folded(text).split("\n")
-    hits = list(seeds.iter("".join(lines)))
-    if not hits:
-        return []
+    return all_leaks([text], items, seeds, least)[0]
+
+
+def all_leaks(texts: list[str], items: list[Item], seeds: Seeds, least: int = WORDS) -> list[list[tuple[int, int, int, int]]]:
+    """leaks of each of the texts, in bundles of bounded size."""
+    out: list[list[tuple[int, int, int, int]]] = []
+    bundle: list[list[str]] = []
+    size = 0
+    for text in texts:
+        bundle.append(folded(text).split("\n"))
+        size += len(text)
+        if size > AT_ONCE or len(out) + len(bundle) == len(texts):
+            base = len(out)
+            out += [followed(texts[base + k], bundle[k], h, items, least) if h else [] for k, h in enumerate(seeds.hits(bundle))]
+            bundle, size = [], 0
+    return out
+
+
+def followed(text: str, lines: list[str], hits: list[tuple[int, int, int, int, int]], items: list[Item], least: int) -> list[tuple[int, int, int, int]]:
+    """The leaks among the hits, each followed through the page."""
     first = [0]
     for x in lines:
         first.append(first[-1] + len(x))
     page, back = Page(lines), Page([x[::-1] for x in lines])
     best: dict[int, tuple[int, tuple, tuple]] = {}
     done: dict[int, list[tuple[int, int, int, int]]] = {}
-    for end, at in hits:
-        begin = end - SEED + 1
+    reached: dict[tuple[int, int], int] = {}  # how far an item was followed, by where it would begin on the page
+    for begin, i, p, q, low in hits:
+        if reached.get((i, begin - p), -1) > p:
+            continue
         row = bisect_right(first, begin) - 1
-        k = begin - first[row]
-        for i, p in at:
-            if i in done and any(a <= p < b and r0 <= row <= r1 for a, b, r0, r1 in done[i]):
-                continue
-            item = items[i]
-            n = len(item.text)
-            q, row1, k1, low1, high1 = page.onward(item.text, p, row, k, 1, FORWARD)
+        if i in done and any(a <= p < b and r0 <= row <= r1 for a, b, r0, r1 in done[i]):
+            continue
+        k, item = begin - first[row], items[i]
+        n, low0, high0, low1, high1 = len(item.text), row, row, row, row
+        if q < 0:
+            inside = min(SEED, len(lines[row]) - k)
+            q, row1, k1, low1, high1 = page.onward(item.text, p + inside, row, k + inside, 1, FORWARD)
+        else:
+            row1 = -1
+        if low < 0 or bisect_right(item.ends, q) - bisect_left(item.starts, low) >= least:
             rp, row0, k0, low0, high0 = back.onward(item.back, n - p, row, len(lines[row]) - k, -1, BACKWARD)
             low = n - rp
-            done.setdefault(i, []).append((low, q, min(low0, low1), max(high0, high1)))
-            words = bisect_right(item.ends, q) - bisect_left(item.starts, low)
-            if words > best.get(i, (0,))[0]:
-                best[i] = (words, (row0, len(lines[row0]) - k0), (row1, k1))
+        reached[i, begin - p] = q
+        done.setdefault(i, []).append((low, q, min(low0, low1), max(high0, high1)))
+        words = bisect_right(item.ends, q) - bisect_left(item.starts, low)
+        if words >= least and words > best.get(i, (0,))[0]:
+            if row1 < 0:
+                inside = min(SEED, len(lines[row]) - k)
+                q, row1, k1, low1, high1 = page.onward(item.text, p + inside, row, k + inside, 1, FORWARD)
+            best[i] = (words, (row0, len(lines[row0]) - k0), (row1, k1))
     out, raw = [], text.split("\n")
     for i, (n, a, b) in best.items():
         if n >= least:
@@ -292,7 +506,7 @@ def original(raw: list[str], row: int, k: int) -> int:
     return at + len(raw[row])
 
 
-def searched(value: tuple[list, frozenset[str]]) -> tuple[list[Item], ahocorasick.Automaton]:
+def searched(value: tuple[list, frozenset[str]]) -> tuple[list[Item], Seeds]:
     """The items and the automaton of a broadcast block."""
     items = items_of(value[0], WORDS, value[1])
     return items, automaton(items)
@@ -317,10 +531,8 @@ def leaked(pages: DataFrame, key: str, text: str, tests: DataFrame, item: str, i
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items, seeds = corpus.built(shared, searched)
             for batch in batches:
-                keys, found = batch.column(0), []
-                for n, t in enumerate(batch.column(1)):
-                    if t := t.as_py():
-                        found += [(n, *x) for x in leaks(t, items, seeds)]
+                keys = batch.column(0)
+                found = [(n, *x) for n, leaks_ in enumerate(all_leaks([t or "" for t in batch.column(1).to_pylist()], items, seeds)) for x in leaks_]
                 at, ids, words, a, b = zip(*found) if found else [()] * 5
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), pa.array(ids, id_type), pa.array(words, pa.int32()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=[key, item, "words", "from", "to"])
 
