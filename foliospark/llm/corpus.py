@@ -32,15 +32,15 @@ def built(shared, build: Callable):
     return _built["made"]
 
 
-def sample(df: DataFrame, key: str, columns: dict[str, int], size: int) -> pa.Table:
-    """At most `size` rows of the columns, each cut to its number of characters, chosen by a hash of the key.
+def sample(df: DataFrame, key: str, longest: dict[str, int], size: int) -> pa.Table:
+    """At most `size` rows of the columns, chosen by a hash of the key, of those whose texts are no longer than `longest`.
 
-    Rows with a null in a column are left out. The rows of df are counted, without reading the columns; a threshold on
-    the hash lets few times as many rows through as are wanted, so that few move however many there are. For fitting
-    models only."""
+    For fitting models only: bounded in rows and characters, and of whole texts. Rows with a null in a column are left
+    out. The rows of df are counted, without reading the columns; a threshold on the hash lets few times as many rows
+    through as are wanted, so that few move however many there are."""
     part = min(1.0, SPARE * size / max(1, df.count()))
-    some = df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(part * (1 << 30)) + 1).where(" and ".join(f"`{c}` is not null" for c in columns))
-    return some.select(F.xxhash64(key).alias("h"), *(F.substring(c, 1, k).alias(c) for c, k in columns.items())).orderBy("h").limit(size).drop("h").toArrow()
+    some = df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(part * (1 << 30)) + 1).where(" and ".join(f"length(`{c}`) <= {k}" for c, k in longest.items()))
+    return some.select(F.xxhash64(key).alias("h"), *longest).orderBy("h").limit(size).drop("h").toArrow()
 
 
 def common_words(df: DataFrame, columns: list[str], count: Callable[[str, Counter], None], clean: Callable[[str], str], size: int) -> dict[str, int]:

@@ -55,8 +55,9 @@ def test_common_words_are_bounded_and_whole(spark):
 
 def test_samples_are_bounded(spark):
     df = spark.range(5000).select("id", F.concat(F.lit("text "), "id").alias("t"))
-    got = corpus.sample(df, "id", {"t": 6}, 100)
-    assert got.num_rows == 100 and max(map(len, got.column("t").to_pylist())) == 6 and corpus.sample(df.limit(3), "id", {"t": 9}, 100).num_rows == 3
+    got = corpus.sample(df, "id", {"t": 9}, 100)
+    assert got.num_rows == 100 and max(map(len, got.column("t").to_pylist())) == 9 and corpus.sample(df.limit(3), "id", {"t": 9}, 100).num_rows == 3
+    assert set(corpus.sample(df, "id", {"t": 6}, 5000).column("t").to_pylist()) == {f"text {k}" for k in range(10)}
 
 
 BODY = "The expedition was surrounded by the carpenter and the old-fashioned library . Every committee needs a newly-built station . The carpenter of the library was completed in 1895 . "
