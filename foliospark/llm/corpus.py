@@ -43,8 +43,15 @@ def sample(df: DataFrame, key: str, longest: dict[str, int], size: int) -> pa.Ta
     return some.select(F.xxhash64(key).alias("h"), *longest).orderBy("h").limit(size).drop("h").toArrow()
 
 
-def common_words(df: DataFrame, columns: list[str], count: Callable[[str, Counter], None], clean: Callable[[str], str], size: int) -> dict[str, int]:
-    """The commonest words of all texts with their counts, at most `size`, words that occur once left out.
+class Words(dict):
+    """Words with their counts, and the greatest count that a word which isn't among them may have."""
+
+    left_out = 1
+
+
+def common_words(df: DataFrame, columns: list[str], count: Callable[[str, Counter], None], clean: Callable[[str], str], size: int) -> Words:
+    """The commonest words of all texts with their counts, at most `size`, words that occur once left out. What else is
+    left out has a count known not to exceed `left_out`.
 
     Each task counts its texts and passes on one row per word. The counts are written once; the least count is sought in
     their histogram, so no task sorts them, and ties stand in or out together."""
@@ -72,13 +79,16 @@ def common_words(df: DataFrame, columns: list[str], count: Callable[[str, Counte
     counted = df.select(*columns).mapInArrow(run, "word string, n bigint").where(F.length("word").between(1, 40)).groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
     counted = stage(counted, "words")
     step = F.floor(F.log2("n") * STEPS).cast("int")
-    least, total = None, 0
-    for row in sorted(counted.groupBy(step.alias("s")).count().collect(), reverse=True):
-        total += row["count"]
+    least, total, left_out = None, 0, 1
+    for row in sorted(counted.groupBy(step.alias("s")).agg(F.count("*").alias("n"), F.max("n").alias("most")).collect(), reverse=True):
+        total += row.n
         if total > size:
+            left_out = row.most
             break
         least = row.s
-    if least is None:
-        return {}
-    rows = counted.where(step >= least).toArrow()
-    return dict(sorted(zip(rows.column("word").to_pylist(), rows.column("n").to_pylist())))
+    out = Words()
+    if least is not None:
+        rows = counted.where(step >= least).toArrow()
+        out.update(sorted(zip(rows.column("word").to_pylist(), rows.column("n").to_pylist())))
+    out.left_out = left_out
+    return out

@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.corpus import built, common_words
+from foliospark.llm.corpus import Words, built, common_words
 from foliospark.llm.forms import FOREIGN, LETTERS, one_script
-from foliospark.session import spread, table
+from foliospark.session import once, spread, table
 
 # What is printed and what is read for it.
 CONFUSIONS = (
@@ -103,6 +103,7 @@ class Language:
 
     def __init__(self, words: dict[str, int]):
         self.words = words
+        self.unknown = n if (n := getattr(words, "left_out", 1)) > 1 else 0  # what the count of a word left out may be
         self.total = math.log(sum(words.values()) + 1)
         self.least = max(RATIO, NAMED * sum(words.values()))
         grams: Counter = Counter()
@@ -190,7 +191,7 @@ class Language:
                 return None
             parts = [self.decode(p) or p for p in w.split("-")]
             return v if (v := "-".join(parts)) != w else None
-        n = self.count(w)
+        n = self.count(w) or self.unknown
         ones = self.unread(w)
         best, v = max(((self.count(v), v) for v in ones), default=(0, ""))
         if best >= max(RATIO * n, self.least if w[:1].isupper() and v.lower() not in self.words else 4 if n == 0 else 0) and best > 0:
@@ -322,6 +323,8 @@ class Language:
         first, last = cells[0].raw, cells[-1].raw
         text = first[: first.find(cores[0])] + v + last[last.rfind(cores[-1]) + len(cores[-1]) :]
         lines = [k for c in cells for k, defect, _ in c.found if defect == "hyphen"]
+        if not lines and v == w:  # broken at a line's end without a hyphen
+            lines = [a.line for a, b in zip(cells, cells[1:]) if a.line < b.line]
         found = [(k, "hyphen", v) for k in lines] or ([(cells[0].line, "misread", v)] if v != w else [])
         return cost + self.cost(v), Cell(cells[0].line, "".join(c.raw for c in cells), w, text, found)
 
@@ -586,14 +589,15 @@ def paragraphs(lines: list[str], kinds: list[str], stream: list[tuple[int, list[
     return [("" if japanese else " ").join(w for _, ws in stream[a:b] for w in ws) for a, b in cuts[::-1]]
 
 
-def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, row_id, title, text) of the scanned texts."""
-    a = table(spark, sf_dir, "chapters").select(F.lit("chapters").alias("src"), F.col("chapter_id").alias("row_id"), "title", F.col("raw_text").alias("text"))
+def texts(spark: SparkSession, sf_dir: str, single: bool = False) -> DataFrame:
+    """(src, row_id, title, text) of the scanned texts, on demand each chapter once."""
+    chapters = table(spark, sf_dir, "chapters").select("chapter_id", "title", "raw_text")
+    a = (once(chapters, "chapter_id") if single else chapters).select(F.lit("chapters").alias("src"), F.col("chapter_id").alias("row_id"), "title", F.col("raw_text").alias("text"))
     b = table(spark, sf_dir, "paper_pipeline").select(F.lit("paper_pipeline").alias("src"), F.col("paper_id").alias("row_id"), F.lit(None).cast("string").alias("title"), F.col("raw_text").alias("text"))
     return spread(a.unionByName(b).where("text is not null"))
 
 
-def vocabulary(df: DataFrame, text: str = "text", size: int = VOCABULARY) -> dict[str, int]:
+def vocabulary(df: DataFrame, text: str = "text", size: int = VOCABULARY) -> Words:
     """The commonest words of all texts and their counts, at most `size`: the bounded model that workers get."""
     return common_words(df, [text], count_words, plain, size)
 
@@ -629,7 +633,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = texts(spark, sf_dir)
-    return repair(every.dropDuplicates(["src", "row_id"]), "paragraphs", vocabulary(every))
+    return repair(texts(spark, sf_dir, True), "paragraphs", vocabulary(every))
 
 
 QUERIES = {"p2_found": p2_found, "p2_paragraphs": p2_paragraphs}

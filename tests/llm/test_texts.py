@@ -51,6 +51,7 @@ def test_common_words_are_bounded_and_whole(spark):
     count = lambda t, c: c.update(t.split())
     assert corpus.common_words(df, ["t"], count, str, 1000) == {w: n for w, n in exact.items() if n > 1}
     few = corpus.common_words(df, ["t"], count, str, 12)
+    assert few.left_out == max(n for w, n in exact.items() if w not in few) and corpus.common_words(df, ["t"], count, str, 1000).left_out == 1
     assert 0 < len(few) <= 12 and all(exact[w] == n for w, n in few.items()) and min(few.values()) >= max(n for w, n in exact.items() if w not in few)
     assert corpus.common_words(df.limit(0), ["t"], count, str, 12) == {}
 
@@ -122,6 +123,19 @@ def test_one_decoding_of_the_stream(language):
     assert paragraphs == ["Every committee needs the expedition of the carpenter and the carpenter of the library was completed."]
 
 
+def test_words_broken_without_a_hyphen(language):
+    found, paragraphs = scans.repaired("Every committee needs the expe\ndition of the carpenter and the lib\n\nrary was\ncompleted in the library.", [], language)
+    assert found == [(0, "hyphen", "expedition"), (1, "hyphen", "library")]
+    assert paragraphs[0].startswith("Every committee needs the expedition of the carpenter and the library was completed")
+
+
+def test_words_left_out_of_the_counts_are_not_taken_for_misread_ones():
+    words = corpus.Words({"carpenter": 150, "the": 9000})
+    assert scans.Language(words).decode("carpcnter") == "carpenter"
+    words.left_out = 30
+    assert scans.Language(words).decode("carpcnter") is None
+
+
 def test_confusions_keep_the_sum():
     for printed, read in scans.CONFUSIONS:
         assert scans.confusion_sum(printed) == scans.confusion_sum(read)
