@@ -27,7 +27,7 @@ from foliospark.llm.corpus import Words, built, common_words
 from foliospark.llm.forms import FOREIGN, LETTERS, one_script
 from foliospark.session import once, spread, table
 
-# What is printed and what is read for it.
+# What is printed and what is read for it, in any scan. The corpus's own confusions are learned besides.
 CONFUSIONS = (
     ("e", "c"), ("c", "e"), ("t", "f"), ("n", "ri"), ("i", "j"), ("o", "0"), ("d", "cl"), ("s", "5"), ("l", "I"), ("l", "1"),
     ("h", "b"), ("u", "ii"), ("m", "rn"), ("g", "9"), ("v", "y"), ("in", "m"), ("w", "vv"), ("b", "6"), ("li", "h"), ("rn", "m"),
@@ -47,6 +47,8 @@ CONFUSION_COST, DIGIT_GAIN = 3.0, 4.0
 #: the longest word that a run without blanks is cut into.
 UNKNOWN_COST, MERGED_COST, SPLIT_COST, LONGEST = 3.0, 3.0, 3.0, 24
 FLUSH = 300_000
+#: Rare words that must differ from common ones by a confusion for it to be learned, and their part of all such words.
+LEARNED, LEARNED_SHARE = 8, 0.005
 
 # Weights of characters for which a word's sum stays the same through every confusion.
 SUMS = {c: (ord(c) * 0x9E3779B97F4A7C15) % (1 << 40) for c in "aceotsvkpqxz237"}
@@ -88,6 +90,25 @@ def count_words(text: str, counts: Counter) -> None:
         counts.update(words)
 
 
+def learned(words: dict[str, int]) -> set[tuple[str, str]]:
+    """(printed, read) of the confusions in which rare words differ from words RATIO times as common: one or two
+    characters for one or two. Linear in the words' characters, by the places that both have around the difference."""
+    total = sum(words.values())
+    around: dict[tuple[str, str], list[str]] = {}
+    holes = lambda w: ((w[:i], w[i : i + k], w[i + k :]) for k in (1, 2) for i in range(len(w) - k + 1))
+    usable = {w: n for w, n in words.items() if len(w) > 4 and w.isalnum() and w[0].islower() and not JAPANESE.search(w)}
+    for w, n in usable.items():
+        if n >= max(RATIO * 2, NAMED * total) and w.isalpha() and len(w) > 5:
+            for a, x, b in holes(w):
+                around.setdefault((a, b), []).append(x)
+    counts: Counter = Counter()
+    for w, n in usable.items():
+        met = {(x, y) for a, y, b in holes(w) for x in around.get((a, b), ()) if len(x) + len(y) < 4 and words[a + x + b] >= RATIO * n}
+        counts.update(met)
+    least = max(LEARNED, LEARNED_SHARE * sum(counts.values()))
+    return {pair for pair, n in counts.items() if n >= least}
+
+
 class Cell:
     """A word of the de-lined stream: its line, what was read, that without punctuation, what was printed, the defects in
     it, and its joints: lines that end in it with a hyphen, and where in the core."""
@@ -118,7 +139,7 @@ class Language:
             first[g[:-1]] += n
         self.grams, self.first = grams, first
         self.inverse = {}
-        for printed, read in CONFUSIONS:
+        for printed, read in sorted({*CONFUSIONS, *learned(words)}):
             self.inverse.setdefault(read, []).append(printed)
         self.lengths = sorted({len(r) for r in self.inverse}, reverse=True)
         self.costs: dict[str, float] = {}

@@ -123,6 +123,15 @@ def test_one_decoding_of_the_stream(language):
     assert paragraphs == ["Every committee needs the expedition of the carpenter and the carpenter of the library was completed."]
 
 
+def test_confusions_of_the_corpus_are_learned():
+    r = random.Random(2)
+    words = {"".join(r.choice("aeioultzkdg") for _ in range(9)): 4000 for _ in range(60)}
+    read = {w.replace("z", "7", 1): 2 for w in words if "z" in w} | {w.replace("k", "lc", 1): 2 for w in words if "k" in w}
+    assert scans.learned(words | read) == {("z", "7"), ("k", "lc")} and scans.learned({}) == set() == scans.learned(words)
+    w = next(w for w in words if "z" in w)
+    assert scans.Language(words | read).decode(w.replace("z", "7", 1)) == w
+
+
 def test_words_broken_without_a_hyphen(language):
     found, paragraphs = scans.repaired("Every committee needs the expe\ndition of the carpenter and the lib\n\nrary was\ncompleted in the library.", [], language)
     assert found == [(0, "hyphen", "expedition"), (1, "hyphen", "library")]
