@@ -30,8 +30,19 @@ def test_consistent_forms():
 
 def test_the_automaton_allows_edits_within_its_budget():
     trie = forms.Trie(WORDS)
-    assert trie._walk("explоrr", 1.0) == ("explorer", 40) and trie._walk("explоrr", 0.5) is None
-    assert trie._walk("саfe", 0.0) == ("cafe", 2)
+    walk = lambda token, budget: trie._walk(forms.letters_of(token), budget)
+    assert walk("explоrer", 0.0) == ("explorer", 40) and walk("explоrr", 0.5) is None and walk("саfe", 0.0) == ("cafe", 2)
+    assert walk("explоrr", 1.0) == ("explorer", 40) and trie.spelling("explоrr") is None  # looks different, and no common word
+    common = forms.Trie(WORDS | {"explorer": 400})
+    assert common.spelling("explоrr") == ("explorer", 400) and common.spelling("Еxplоrr") is None
+
+
+def test_the_automaton_walks_what_is_written():
+    trie = forms.Trie(WORDS | {"office": 9, "Mayaho": 7, "Mayahi": 900, "wonderful": 50})
+    for token, wanted in (("ｅｘｐｌｏｒｅｒ", "explorer"), ("o\ufb03ce", "office"), ("cafe\u0301", "café"), ("ex\u200bpl\u00adorer", "explorer"), ("Mаyaho", "Mayaho"), ("wonderfuʟ", "wonderful"), ("wоnderfսl", "wonderful"), ("wondeɼful", "wonderful")):
+        assert trie.spelling(token)[0] == wanted and forms.consistent(token, trie) == wanted, token
+    assert forms.consistent("Mаyahe", trie) == "Mayahe"  # a name that isn't known stays as it looks
+    assert trie.spelling("слово") is None
 
 
 def test_forms_of_a_table(spark):
