@@ -19,6 +19,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,8 +45,9 @@ VOCABULARY = 200_000
 #: What a confusion costs in an unknown word, in nats of the character model.
 CONFUSION_COST, DIGIT_GAIN = 3.0, 4.0
 #: What a letter of an unknown word, a blank lost between words and a blank too many in a word cost, in nats; letters of
-#: the longest word that a run without blanks is cut into.
-UNKNOWN_COST, MERGED_COST, SPLIT_COST, LONGEST = 3.0, 3.0, 3.0, 24
+#: the longest known word in a run without blanks; letters of a run that can't be one word, and the part of it that known
+#: words must make.
+UNKNOWN_COST, MERGED_COST, SPLIT_COST, LONGEST, RUN, KNOWN = 3.0, 3.0, 3.0, 24, 40, 0.8
 FLUSH = 300_000
 #: Rare words that must differ from common ones by a confusion for it to be learned, and their part of all such words.
 LEARNED, LEARNED_SHARE = 8, 0.005
@@ -138,15 +140,16 @@ class Language:
         for g, n in grams.items():
             first[g[:-1]] += n
         self.grams, self.first = grams, first
-        self.inverse = {}
+        self.inverse, self.by_first = {}, {}
         for printed, read in sorted({*CONFUSIONS, *learned(words)}):
             self.inverse.setdefault(read, []).append(printed)
+            self.by_first.setdefault(printed[0], []).append((printed, read))
         self.lengths = sorted({len(r) for r in self.inverse}, reverse=True)
         self.costs: dict[str, float] = {}
         self.known: dict[str, str | None] = {}
         self.tokens: dict[str, tuple[str, str] | None] = {}
         self.joined: dict[tuple[str, str], str] = {}
-        self.readings: dict[str, tuple[float, str]] = {}
+        self.automaton: ahocorasick.Automaton | None = None
         self.cuts: dict[str, tuple[float, list[str], list[str]] | None] = {}
         self.odds: dict[str, bool] = {}
         self.most = max(words.values(), default=1)
@@ -279,45 +282,64 @@ class Language:
                             out.setdefault(x, set()).add(w[len(a) :])
         return out
 
-    def reading(self, w: str) -> tuple[float, str]:
-        """The cheapest reading of a word in the midst of a run, and its cost: itself, or through one confusion."""
-        if (v := self.readings.get(w)) is None:
-            n = self.count(w)
-            v = (self.total - math.log(n) if n else self.total + UNKNOWN_COST * len(w), w)
-            if len(w) > 2 and not n and confusion_sum(w) in self.sums:
-                n, x = max(((self.count(x), x) for x in self.unread(w)), default=(0, ""))
-                if n >= RATIO:
-                    v = min(v, (self.cost(x) + CONFUSION_COST, x))
-            if len(self.readings) > FLUSH:
-                self.readings.clear()
-            self.readings[w] = v
-        return v
+    def pieces(self) -> ahocorasick.Automaton:
+        """All known words, and what may be read for them through one confusion, with (cost, word, length)."""
+        if self.automaton is None:
+            found: dict[str, tuple[float, str, int]] = {}
+            for w, n in self.words.items():
+                if w.islower() and len(w) <= LONGEST:
+                    found[w] = (self.total - math.log(n), w, len(w))
+            for w, n in self.words.items():
+                if n >= RATIO and w.islower() and 2 < len(w) <= LONGEST:
+                    cost = self.total - math.log(n) + CONFUSION_COST
+                    for i in range(len(w)):
+                        for printed, read in self.by_first.get(w[i], ()):
+                            v = w[:i] + read + w[i + len(printed) :]
+                            if w.startswith(printed, i) and v.islower() and v not in self.words and cost < found.get(v, (math.inf,))[0]:
+                                found[v] = (cost, w, len(v))
+            self.automaton = ahocorasick.Automaton()
+            for v, x in found.items():
+                self.automaton.add_word(v, x)
+            if found:
+                self.automaton.make_automaton()
+        return self.automaton
 
     def cut(self, run: str) -> tuple[float, list[str], list[str]]:
         """The likeliest cut of a run of letters into words: its cost, the words, and what was read for each. Linear in
-        the run's length."""
-        costs, back, least = [0.0], [0], self.total - math.log(self.most)
+        the run's length: known words are met by one automaton, and of unknown ones only the best start is held."""
+        words: list[list[tuple[float, str, int]]] = [[] for _ in range(len(run) + 1)]
+        automaton = self.pieces()
+        if len(automaton):
+            for end, x in automaton.iter(run):
+                words[end + 1].append(x)
+        costs, back = [0.0], [(0, "")]
+        start, at = 0.0, 0  # the least of costs[i] - UNKNOWN_COST * i, and its i
         for j in range(1, len(run) + 1):
-            cost, at = math.inf, 0
-            for i in range(max(0, j - LONGEST), j):
-                if costs[i] + least + MERGED_COST < cost and (c := costs[i] + self.reading(run[i:j])[0] + MERGED_COST) < cost:
-                    cost, at = c, i
-            costs.append(cost)
-            back.append(at)
-        read, j = [], len(run)
+            best = (start + self.total + UNKNOWN_COST * j + MERGED_COST, at, "")
+            for cost, w, n in words[j]:
+                if (c := costs[j - n] + cost + MERGED_COST) < best[0]:
+                    best = (c, j - n, w)
+            costs.append(best[0])
+            back.append((best[1], best[2]))
+            if best[0] - UNKNOWN_COST * j < start:
+                start, at = best[0] - UNKNOWN_COST * j, j
+        out, read, j = [], [], len(run)
         while j:
-            read.append(run[back[j] : j])
-            j = back[j]
-        read.reverse()
-        return costs[-1] - MERGED_COST, [self.reading(x)[1] for x in read], read
+            i, w = back[j]
+            read.append(run[i:j])
+            out.append(w or run[i:j])
+            j = i
+        return costs[-1] - MERGED_COST, out[::-1], read[::-1]
 
     def apart(self, w: str) -> tuple[float, list[str], list[str]] | None:
-        """The cut of a word that is likelier than the word itself, None if there is none. Names stay whole."""
+        """The cut of a word that is likelier than the word itself, None if there is none. Names stay whole; a run that
+        can't be a word may hold some."""
         if w not in self.cuts:
             cut = self.cut(w) if w.islower() and self.cost(w) > 2 * (self.total - math.log(self.most)) + MERGED_COST else None
             if len(self.cuts) > FLUSH:
                 self.cuts.clear()
-            self.cuts[w] = cut if cut and len(cut[1]) > 1 and cut[0] < self.cost(w) and all(map(self.count, cut[1])) else None
+            known = cut and sum(len(r) for v, r in zip(cut[1], cut[2]) if self.count(v))
+            self.cuts[w] = cut if cut and len(cut[1]) > 1 and cut[0] < self.cost(w) and (known == len(w) or len(w) > RUN and known >= KNOWN * len(w)) else None
         return self.cuts[w]
 
     def odd(self, w: str) -> bool:
@@ -357,6 +379,7 @@ class Language:
         cost, words, read = cut
         out, end = [], 0
         for v, r in zip(words, read):
+            v = r if len(cell.core) > RUN and len(v) < 5 else v  # beside unknown names short words say too little
             begin, end = end, end + len(r)
             if any(place == end for _, place in cell.joints):
                 return None  # a hyphen says that the word goes on
