@@ -22,6 +22,26 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
+def scan(items: Column, start: Column, step: Callable[[Column, Column], Column], kind: str, block: int = 256) -> Column:
+    """What the states of a fold give for each item, in order, as an array of `kind`.
+
+    step: from (state, item) to a struct of the next state `s` and the given value `v`. Works block by block, as an array
+    is copied whenever one more value is put to it: the cost is the items times the block, not their square."""
+    none = F.array().cast(f"array<{kind}>")
+
+    def inner(state: Column, part: Column) -> Column:
+        one = lambda a, x: let(step(a["s"], x), lambda y: F.struct(y["s"].alias("s"), F.array_append(a["v"], y["v"]).alias("v")))
+        return F.aggregate(part, F.struct(state.alias("s"), none.alias("v")), one)
+
+    def outer(state: Column, k: Column) -> Column:
+        part = F.slice(items, k * block + 1, F.lit(block))
+        return let(inner(state["s"], part), lambda y: F.struct(y["s"].alias("s"), F.array_append(state["v"], y["v"]).alias("v")))
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / block).cast("int"))
+    whole = F.aggregate(blocks, F.struct(start.alias("s"), F.array().cast(f"array<array<{kind}>>").alias("v")), outer, lambda s: F.flatten(s["v"]))
+    return F.when(F.size(items) > 0, whole).otherwise(none)
+
+
 def nn(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 

@@ -47,15 +47,19 @@ def parse_toc(response: Column, keywords=EXCLUDED_SECTIONS) -> Column:
     """The entries of a model's table of contents, as an array; null if it is no JSON array or has no valid entry.
 
     Entries that are no objects or lack a key are skipped, and those with an excluded word in their title."""
-    bare = strip(nn(response))
-    fenced = strip(F.regexp_extract(bare, r"(?s)```(?:json)?\s*(.*?)```", 1))
-    unfenced = strip(F.regexp_replace(bare, "```json|```", ""))
-    text = F.when(F.startswith(bare, F.lit("```")), F.when(F.contains(F.substring(bare, 4, 1 << 30), F.lit("```")), fenced).otherwise(unfenced)).otherwise(bare)
-    raw = F.from_json(F.when(F.startswith(text, F.lit("[")), text), "array<variant>")
     get = lambda x, k: strip(F.try_variant_get(x, f"$.{k}", "string"))
-    rows = F.transform(raw, lambda x: F.struct(get(x, "chapter_title").alias("chapter_title"), get(x, "anchor_text").alias("anchor_text")))
-    valid = F.filter(rows, lambda r: r["chapter_title"].isNotNull() & r["anchor_text"].isNotNull() & ~contains_any(F.lower(r["chapter_title"]), [k.lower() for k in keywords]))
-    return F.when(F.size(valid) > 0, valid)
+
+    def unfenced(bare: Column) -> Column:
+        fenced = strip(F.regexp_extract(bare, r"(?s)```(?:json)?\s*(.*?)```", 1))
+        return F.when(F.startswith(bare, F.lit("```")), F.when(F.contains(F.substring(bare, 4, 1 << 30), F.lit("```")), fenced).otherwise(strip(F.regexp_replace(bare, "```json|```", "")))).otherwise(bare)
+
+    def entries(raw: Column) -> Column:
+        rows = F.transform(raw, lambda x: F.struct(get(x, "chapter_title").alias("chapter_title"), get(x, "anchor_text").alias("anchor_text")))
+        kept = lambda r: r["chapter_title"].isNotNull() & r["anchor_text"].isNotNull() & let(F.lower(r["chapter_title"]), lambda t: ~contains_any(t, [k.lower() for k in keywords]))
+        return F.filter(rows, kept)
+
+    raw = let(let(strip(nn(response)), unfenced), lambda t: F.from_json(F.when(F.startswith(t, F.lit("[")), t), "array<variant>"))
+    return let(let(raw, entries), lambda valid: F.when(F.size(valid) > 0, valid))
 
 
 def parse_web_toc(response: Column) -> Column:
@@ -69,7 +73,9 @@ def parse_web_toc(response: Column) -> Column:
 
 def toc_positions(text: Column, toc: Column) -> Column:
     """(title, pos) of each entry: by its anchor, else by its title, else null."""
-    return F.transform(toc, lambda e: F.struct(e["chapter_title"].alias("title"), F.coalesce(fuzzy_find(text, e["anchor_text"]), fuzzy_find(text, e["chapter_title"])).alias("pos")))
+    find = lambda t, x: let(strip(F.lower(nn(x))), lambda a: _found(t, a, 0.3))
+    placed = lambda t: F.transform(toc, lambda e: F.struct(e["chapter_title"].alias("title"), F.coalesce(find(t, e["anchor_text"]), find(t, e["chapter_title"])).alias("pos")))
+    return let(F.lower(nn(text)), placed)
 
 
 def chapters_between(text: Column, positions: Column) -> Column:
@@ -106,20 +112,32 @@ def anchor_position(text: Column, title: Column, snippet: Column) -> Column:
     return F.when(a > 0, made(a, "title and snippet")).when(b > 0, made(b, "snippet")).when(c > 0, made(c, "title")).otherwise(made(F.lit(0), "none"))
 
 
-def chapters_forward(text: Column, chapters: Column) -> Column:
-    """(id, title, text) with a cursor that only goes forward; what isn't found is dropped, nothing found is the whole."""
-    t = nn(text)
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<title:string,pos:int>>").alias("out"))
+def chapters_forward(text: Column, chapters: Column, kinds: bool = False) -> Column:
+    """(id, title, section_type, text) with a cursor that only goes forward; what isn't found is dropped, nothing found is
+    the whole. kinds: the chapters have a section_type; else it is null."""
+    return let(nn(text), lambda t: _forward(t, chapters, kinds))
+
+
+def _forward(t: Column, chapters: Column, kinds: bool) -> Column:
+    found_type = "array<struct<title:string,section_type:string,pos:int>>"
+    state = F.struct(F.lit(0).alias("at"), F.array().cast(found_type).alias("out"))
+    kind = lambda e: (e["section_type"] if kinds else F.lit(None)).cast("string")
 
     def step(s: Column, e: Column) -> Column:
         title = F.when(nn(e["title"]) == "", "Unknown Chapter").otherwise(e["title"])
         hit = anchor_position(F.substring(t, s["at"] + 1, F.length(t)), title, e["start_snippet"])["pos"]
-        pos = s["at"] + hit - 1
-        return F.when(hit > 0, F.struct((pos + 1).alias("at"), F.array_append(s["out"], F.struct(e["title"].alias("title"), pos.cast("int").alias("pos"))).alias("out"))).otherwise(s)
+
+        def moved(h: Column) -> Column:
+            pos = s["at"] + h - 1
+            one = F.struct(e["title"].alias("title"), kind(e).alias("section_type"), pos.cast("int").alias("pos"))
+            return F.when(h > 0, F.struct((pos + 1).alias("at"), F.array_append(s["out"], one).alias("out"))).otherwise(s)
+
+        return let(hit, moved)
 
     def cut(found: Column) -> Column:
         end = lambda i: F.coalesce(F.get(found, i + 1)["pos"], F.length(t))
-        return F.transform(found, lambda c, i: F.struct((i + 1).alias("id"), c["title"].alias("title"), strip(F.substring(t, c["pos"] + 1, end(i) - c["pos"])).alias("text")))
+        return F.transform(found, lambda c, i: F.struct((i + 1).alias("id"), c["title"].alias("title"), c["section_type"].alias("section_type"), strip(F.substring(t, c["pos"] + 1, end(i) - c["pos"])).alias("text")))
 
-    whole = F.array(F.struct(F.lit(1).alias("id"), F.lit("Full Text").alias("title"), strip(t).alias("text")))
-    return let(let(F.aggregate(chapters, state, step, lambda s: s["out"]), cut), lambda c: F.when(F.size(c) > 0, c).otherwise(whole))
+    whole = F.array(F.struct(F.lit(1).alias("id"), F.lit("Full Text").alias("title"), F.lit(None).cast("string").alias("section_type"), strip(t).alias("text")))
+    found = F.coalesce(F.aggregate(chapters, state, step, lambda s: s["out"]), F.array().cast(found_type))
+    return let(let(found, cut), lambda c: F.when(F.size(c) > 0, c).otherwise(whole))

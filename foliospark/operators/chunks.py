@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.functions.text import HS, join, let, nn, strip
+from foliospark.functions.text import HS, join, let, nn, scan, strip
 
 
 def at_heading(text: Column, level: int) -> Column:
@@ -17,19 +17,17 @@ def at_heading(text: Column, level: int) -> Column:
 
 def packed(parts: Column, limit: int, by: str) -> Column:
     """Neighbouring parts together as long as their lengths, with separators, stay within the limit."""
-    state = F.struct(F.array().cast("array<array<string>>").alias("out"), F.array().cast("array<string>").alias("cur"), F.lit(0).alias("n"))
 
-    def step(s: Column, x: Column) -> Column:
+    def step(n: Column, x: Column) -> Column:
         cost = F.length(x) + len(by)
-        full = (s["n"] + cost > limit) & (F.size(s["cur"]) > 0)
-        return F.struct(
-            F.when(full, F.array_append(s["out"], s["cur"])).otherwise(s["out"]).alias("out"),
-            F.when(full, F.array(x)).otherwise(F.array_append(s["cur"], x)).alias("cur"),
-            F.when(full, cost).otherwise(s["n"] + cost).alias("n"),
-        )
-
-    whole = F.aggregate(parts, state, step, lambda s: F.when(F.size(s["cur"]) > 0, F.array_append(s["out"], s["cur"])).otherwise(s["out"]))
-    return F.transform(whole, lambda c: F.array_join(c, by))
+        full = (n + cost > limit) & (n > 0)
+        return F.struct(F.when(full | (n == 0), cost).otherwise(n + cost).alias("s"), (full | (n == 0)).alias("v"))
+
+    def joined(p: Column, firsts: Column) -> Column:
+        starts = F.filter(F.transform(firsts, lambda f, i: F.when(f, i)), lambda i: i.isNotNull())
+        return let(starts, lambda at: F.transform(at, lambda s, k: F.array_join(F.slice(p, s + 1, F.coalesce(F.get(at, k + 1), F.size(p)) - s), by)))
+
+    return let(parts, lambda p: joined(p, scan(p, F.lit(0), step, "boolean")))
 
 
 def by_paragraphs(text: Column, limit: int) -> Column:

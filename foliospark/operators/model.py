@@ -21,7 +21,7 @@ from foliospark.session import ship, stage
 
 Backend = Callable[[str], str]
 # What stands in place of an answer, or after the chunk.
-FAILED = {"passthrough": "\n\n(翻訳エラー)", "marker": "[翻訳処理中にエラーが発生しました: {error}]"}
+FAILED = {"passthrough": "\n\n(翻訳エラー)", "source": "", "marker": "[翻訳処理中にエラーが発生しました: {error}]"}
 
 
 def stub(prompt: str) -> str:
@@ -29,6 +29,11 @@ def stub(prompt: str) -> str:
     return prompt.rstrip().rpartition("\n\n")[2].upper()
 
 
+def echo(prompt: str) -> str:
+    """A stub that gives back whole texts: what follows the prompt's last form feed, with each a as A."""
+    return prompt.rpartition("\f")[2].replace("a", "A")
+
+
 def filled(template: str, **values: Column) -> Column:
     """The template with its placeholders filled in one pass: braces in values are text, {{ and }} are braces."""
     parts = []
@@ -59,32 +64,57 @@ def attempt(backend: Backend, prompt: str, options: Options, sleep: Callable[[fl
     raise RuntimeError(f"model call failed after {options.attempts} attempts: {error}")
 
 
-def called(df: DataFrame, prompt: Column, backend: Backend, options: Options, out: str, fallback: str | None = None) -> DataFrame:
+#: Calls at once in one task.
+THREADS = 4
+
+
+def slots(options: Options) -> tuple[int, int]:
+    """Tasks, and threads in each, that make at most `concurrency` calls at once in the whole job."""
+    tasks = max(1, options.concurrency // THREADS)
+    return tasks, max(1, options.concurrency // tasks)
+
+
+def called(df: DataFrame, prompt: Column, backend: Backend, options: Options, out: str, fallback: str | None = None, keys: list[str] | None = None) -> DataFrame:
     """df with the column `out`: the stripped answer to each prompt.
 
-    A column of that name is replaced. Calls of a task run on a few threads; the bound holds per task. on_error fail: the job ends; passthrough: the
-    fallback column and a note; marker: a note with the error."""
+    keys: columns that tell df's rows apart; then only these and the prompts go to Python and into the stage table, and
+    the answers are joined back; without keys all columns go along. A column named `out` is replaced. `concurrency` bounds
+    the calls of the whole job: the prompts are put into so few tasks, of a few threads each. on_error fail: the job ends;
+    passthrough: the fallback column and a note; source: the fallback column as it is; marker: a note with the error."""
+    if fallback == out:
+        raise ValueError("the fallback column can't be the answer's")
     ship(df.sparkSession)
+    tasks, threads = slots(options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def one(pair: tuple[str, str | None]) -> str:
+        def one(prompt: str, text: str | None) -> str:
             try:
-                return attempt(backend, pair[0], options).strip()
+                return attempt(backend, prompt, options).strip()
             except RuntimeError as e:
                 if options.on_error == "fail":
                     raise
-                return (pair[1] or "") + FAILED["passthrough"] if options.on_error == "passthrough" else FAILED["marker"].format(error=e)
+                return (text or "") + FAILED[options.on_error] if options.on_error != "marker" else FAILED["marker"].format(error=e)
+
+        def finished(batch: pa.RecordBatch, calls: list) -> pa.RecordBatch:
+            kept = [i for i, n in enumerate(batch.schema.names) if n not in ("_prompt", "_fallback")]
+            answers = pa.array([c.result() for c in calls], pa.string())
+            return pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), answers], names=[*(batch.schema.names[i] for i in kept), out])
 
-        if fallback == out:
-            raise ValueError("the fallback column can't be the answer's")
-        with ThreadPoolExecutor(options.concurrency) as pool:
+        with ThreadPoolExecutor(threads) as pool:
+            waiting: tuple | None = None  # the next batch's calls begin before the last one's are done
             for batch in batches:
                 prompts = batch.column(batch.schema.get_field_index("_prompt")).to_pylist()
-                texts = batch.column(batch.schema.get_field_index(fallback)).to_pylist() if fallback else [None] * len(prompts)
-                kept = [i for i, n in enumerate(batch.schema.names) if n != "_prompt"]
-                answers = pa.array(list(pool.map(one, zip(prompts, texts))), pa.string())
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), answers], names=[*(batch.schema.names[i] for i in kept), out])
-
-    asked = df.withColumn("_prompt", prompt).drop(out)
-    target = asked.drop("_prompt").withColumn(out, F.lit("")).schema
-    return stage(asked.mapInArrow(run, target), f"model-{out}")
+                texts = batch.column(batch.schema.get_field_index("_fallback")).to_pylist()
+                calls = [pool.submit(one, p, t) for p, t in zip(prompts, texts)]
+                if waiting:
+                    yield finished(*waiting)
+                waiting = batch, calls
+            if waiting:
+                yield finished(*waiting)
+
+    spare = F.col(fallback) if fallback and options.on_error in ("passthrough", "source") else F.lit(None)
+    asked = df.select(*(keys or df.columns), prompt.alias("_prompt"), spare.cast("string").alias("_fallback")).drop(out)
+    asked = asked.repartition(tasks) if asked.rdd.getNumPartitions() > tasks else asked
+    target = asked.drop("_prompt", "_fallback").withColumn(out, F.lit("")).schema
+    answers = stage(asked.mapInArrow(run, target), f"model-{out}")
+    return df.drop(out).join(answers, keys) if keys else answers

@@ -1,8 +1,8 @@
 """Operators on the headings of a document: filters, levels, outlines.
 
 A document is cut before its headings by one split; the parts are transformed as array elements. So each operator is a
-projection: no row is exploded, nothing is shuffled, and a document costs time in proportion to its length (section
-removal: lines plus the square of its number of headings, of pointers). Null text is the empty text.
+projection: no row is exploded, nothing is shuffled, and a document costs time in proportion to its length. Null text is
+the empty text.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.functions.text import HS, INK, WS, contains_any, flush_level, heading_level, heading_title, is_h1, join, let, lines, nn, starts_hash, strip
+from foliospark.functions.text import HS, INK, WS, contains_any, flush_level, heading_level, heading_title, is_h1, join, let, lines, nn, scan, starts_hash, strip
 from foliospark.options import ANALYSIS_HEADINGS, EXCLUDED_SECTIONS, HINT_EXCLUDED, PROTECTED_SECTIONS
 
 
@@ -49,14 +49,15 @@ def remove_sections(text: Column, keywords=EXCLUDED_SECTIONS, protected=PROTECTE
         out = let(F.lower(heading_title(head)), lambda t: contains_any(t, [k.lower() for k in keywords]) & ~contains_any(t, protected))
         return F.struct(s.alias("s"), level.alias("level"), F.when(level.isNotNull(), out).otherwise(False).alias("out"))
 
-    start = F.struct(F.lit(0).alias("skip"), F.array().cast("array<string>").alias("kept"))
-
-    def step(state: Column, x: Column) -> Column:
+    def step(skip: Column, x: Column) -> Column:
         leaves = x["level"].isNotNull() & x["out"]
-        skip = F.when(leaves, x["level"]).when((state["skip"] > 0) & x["level"].isNotNull() & (x["level"] <= state["skip"]), F.lit(0)).otherwise(state["skip"])
-        return F.struct(skip.alias("skip"), F.when(skip == 0, F.array_append(state["kept"], x["s"])).otherwise(state["kept"]).alias("kept"))
+        now = F.when(leaves, x["level"]).when((skip > 0) & x["level"].isNotNull() & (x["level"] <= skip), F.lit(0)).otherwise(skip)
+        return F.struct(now.alias("s"), (now == 0).alias("v"))
+
+    def kept(parts: Column) -> Column:
+        return let(scan(parts, F.lit(0), step, "boolean"), lambda stays: join(F.transform(F.filter(parts, lambda x, i: F.get(stays, i)), lambda x: x["s"])))
 
-    return strip(F.aggregate(F.transform(sections(whole), described), start, step, lambda s: join(s["kept"])))
+    return strip(let(F.transform(sections(whole), described), kept))
 
 
 def dedupe_headers(text: Column) -> Column:

@@ -4,7 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.operators import model
+from foliospark.operators import assemble, model
 from foliospark.options import Options, load_options
 from foliospark.plans import pipelines
 from foliospark.sources import files
@@ -76,11 +76,63 @@ def test_book_pipelines(spark):
     assert got.startswith("- b\n  - 全体レジュメ\n    - Opening") and "\n  - One\n    - 章レジュメ\n      - One\n      - first chapter text\n    - One\n" in got
     assert pipelines.chapters_of(docs.limit(0).withColumn("toc", F.lit(None).cast("array<struct<chapter_title:string,anchor_text:string>>")), F.col("toc")).count() == 0
     chapters = spark.createDataFrame([("b", 1, "T", "# h\nbody")], "name string, chapter_no int, title string, chapter string")
-    web = Options(dialect="web", on_error="passthrough", first_delay_s=0.0, translation_prompt="{chunk_text}")
+    web = Options(dialect="web", on_error="passthrough", first_delay_s=0.0, book_structuring_prompt="{chapter_text}", book_translation_prompt="{chunk_text}", simple_translation_prompt="{chunk_text}")
     assert pipelines.simple_book(chapters, backend, web).first().outline == "- T\n  - Summary\n    - h\n      - body\n  - Full Text (Translation)\n    - body"
     assert pipelines.web_book(docs, chapters, backend, web).first().outline.endswith("- T\n  - Summary\n    # h\n    body\n  - Translation / Body\n    - h\n      - body")
 
 
+def test_the_whole_web_book(spark):
+    text = "Opening\nOne\nfirst chapter text goes here\nTwo\nsecond chapter text goes there"
+    asked = []
+
+    def backend(prompt):
+        asked.append(prompt)
+        kind, rest = prompt.split("|", 1)
+        if kind == "TOC":
+            return '```json\n{"chapters": [{"title": "One", "start_snippet": "first chapter text goes here", "section_type": "body"}, {"title": "Two", "start_snippet": "second chapter text goes there", "section_type": "notes"}]}\n```'
+        if kind == "STRUCTURE" and "Section Type: notes" in rest:
+            raise ValueError("down")
+        return {"STRUCTURE": "# One\n# again\n" + rest, "BOOK": f"all of {len(rest)}", "CHAPTER": "sum", "TRANSLATE": rest}[kind]
+
+    web = Options(dialect="web", on_error="passthrough", first_delay_s=0.0, web_toc_prompt="TOC|{text}", book_structuring_prompt="STRUCTURE|{overall_summary}|{chapter_text}", book_summary_prompt="BOOK|{text}", chapter_summary_prompt="CHAPTER|{text}", book_translation_prompt="TRANSLATE|{chunk_text}\n({overall_summary}, {chapter_summary})")
+    docs = spark.createDataFrame([(7, "same", text), (8, "same", "no chapters")], "id long, name string, text string")
+    chapters = {(r.id, r.chapter_no): r for r in pipelines.web_chapters(docs, backend, web, "id").collect()}
+    assert {k: (r.title, r.chapter) for k, r in chapters.items()} == {(7, 1): ("One", "One\nfirst chapter text goes here"), (7, 2): ("Two", "Two\nsecond chapter text goes there"), (8, 1): ("Full Text", "no chapters")}
+    got = {r.id: r.outline for r in pipelines.web_book(docs, None, backend, web, key="id").collect()}
+    assert got[7].startswith("- Book Summary\n  - all of ") or got[7].startswith("- Book Summary\n  all of ")
+    assert "- One\n  - Summary\n    sum\n" in got[7] and "Section Type: body" in got[7] and got[7].count("again") == 0
+    assert "- Two\n  - Summary\n" in got[7] and "second chapter text goes there" in got[7] and "(all of" in got[7] and "Full Text" in got[8]
+
+
+def test_parts_say_which_they_are_and_templates_what_they_lack(spark):
+    docs = spark.createDataFrame([("a", "x" * 25, "h"), ("b", " ", "h")], "name string, text string, hint string")
+    options = Options(first_delay_s=0.0, structuring_chunk=10, structuring_extension=0, structuring_prompt="{context_guide}|{raw_text}")
+    got = {r.name: r.structured for r in pipelines.structured_in_parts(docs, ["name"], "text", "hint", lambda p: p, options, F.lit("guide")).collect()}
+    assert got == {"a": "guide (Part 1/3)|xxxxxxxxxx\n\nguide (Part 2/3)|xxxxxxxxxx\n\nguide (Part 3/3)|xxxxx", "b": ""}
+    unknown = Options(translation_prompt="{chunk_text}{other}")
+    assert pipelines.translated(docs, "name", "text", "hint", F.lit(""), model.stub, unknown, refusals=True).first().translated == "[システムエラー: プロンプトの変数が一致しません: 'other']"
+    with pytest.raises(KeyError):
+        pipelines.translated(docs, "name", "text", "hint", F.lit(""), model.stub, unknown)
+
+
+def test_documents_of_one_name_and_the_archived_web_paper(spark):
+    docs = spark.createDataFrame([(1, "n", "one"), (2, "n", "two")], "id long, name string, text string")
+    got = {r.id: r.outline for r in pipelines.paper(docs, model.stub, FAST, key="id").collect()}
+    assert set(got) == {1, 2} and "ONE" in got[1] and "ONE" not in got[2]
+    web = Options(dialect="web", on_error="passthrough", first_delay_s=0.0, translation_prompt="{chunk_text}")
+    old = pipelines.paper(docs.where("id = 1"), model.stub, web, key="id", label=assemble.WEB_SUMMARY, hinted=False).first().outline
+    assert old == "- n\n  - 要約 (Summary)\n    - ONE\n  - ONE"
+
+
+def test_calls_of_a_job_are_bounded_and_only_keys_go_along(spark):
+    assert [model.slots(Options(concurrency=n)) for n in (1, 3, 4, 8, 30)] == [(1, 1), (1, 3), (1, 4), (2, 4), (7, 4)]
+    df = spark.range(40).selectExpr("id", "repeat('t', 5) as text", "'old' as answer").repartition(8)
+    got = model.called(df, F.concat(F.lit("p"), F.col("id")), lambda p: p.upper(), FAST, "answer", "text", ["id"])
+    assert {r.id: (r.text, r.answer) for r in got.collect()} == {k: ("ttttt", f"P{k}") for k in range(40)}
+    failing = model.called(df, F.col("text"), lambda p: "", Options(first_delay_s=0.0, attempts=1, on_error="source"), "answer", "text", ["id"])
+    assert {r.answer for r in failing.collect()} == {"ttttt"}
+
+
 def test_options(tmp_path):
     path = tmp_path / "s.json"
     path.write_text(json.dumps({"MAX_TRANSLATION_CHUNK_SIZE": 40000, "EXCLUDE_SECTION_KEYWORDS": ["x"], "OTHER": 1}))
