@@ -5,6 +5,7 @@ Reads the text files of PATH, runs a pipeline and writes one outline per file, a
 from __future__ import annotations
 
 import argparse
+from glob import glob
 from importlib import import_module
 
 from pyspark.sql import SparkSession
@@ -30,13 +31,16 @@ def backend_of(name: str | None) -> model.Backend:
 def main(argv: list[str] | None = None) -> None:
     args = argparse.ArgumentParser(prog="foliospark")
     args.add_argument("mode", type=lambda m: MODES[m.strip().lower()])
-    args.add_argument("path", type=lambda p: p.strip().strip("\"'"))
-    args.add_argument("out")
+    args.add_argument("path", nargs="?")
+    args.add_argument("out", nargs="?", default="output")
     args.add_argument("--settings")
     args.add_argument("--glossary")
     args.add_argument("--backend")
     args.add_argument("--dialect", default="python")
     a = args.parse_args(argv)
+    a.path = (a.path or input("Path of the text file: ")).strip().strip("\"'")
+    if "://" not in a.path and not glob(a.path):
+        args.error(f"no such file or folder: {a.path}")
     spark = SparkSession.builder.getOrCreate()
     options, backend = load_options(a.settings, dialect=a.dialect), backend_of(a.backend)
     docs = files.read_documents(spark, a.path, a.dialect)

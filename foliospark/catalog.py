@@ -4,6 +4,8 @@ The pages in `documents` have no headings, so a fixture derives Markdown from th
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,12 +14,12 @@ from foliospark.functions.text import nn, squeeze
 from foliospark.operators import anchors, assemble, chunks, model, structure
 from foliospark.options import REFUSAL_PHRASES, Options
 from foliospark.plans import pipelines
-from foliospark.session import spread, table
+from foliospark.session import once, spread, table
 from foliospark.sources import files
 
 # Titles of the fixture, some kept, some excluded, one protected.
 TITLES = ("Introduction", "References", "Methods", "Notes on contributors", "Index terms")
-STUB = Options(first_delay_s=0.0)
+STUB = Options(first_delay_s=0.0, concurrency=32)
 
 
 def fixture(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
@@ -45,10 +47,6 @@ def _shifted():
 
 
 def heading_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    return structure.heading_table(fixture(spark, sf).select("doc_id", "md")).groupBy("level", "title").agg(F.count("*").alias("n")).where("level = 2")
-
-
-def heading_histogram_whole(spark: SparkSession, sf: str) -> DataFrame:
     """Headings of every level, counted by language; pages without a language count under null."""
     return structure.heading_table(fixture(spark, sf, "lang").select("doc_id", "md", "lang")).groupBy("level", "lang").agg(F.count("*").alias("n"))
 
@@ -59,50 +57,43 @@ def fixed_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _toc(docs: DataFrame) -> DataFrame:
-    """A table of contents from the page's own lines 0, 6, 12 ...; every third anchor is missing from the text."""
-    entry = r"""transform(filter(transform(split(coalesce(text, ''), '\n'), (x, i) -> struct(i as i, x as x)), e -> e.i % 6 = 0 and length(e.x) > 12),
-      e -> struct(concat('T', e.i) as chapter_title, if(e.i % 18 = 12, concat('zz', e.x), substr(e.x, 1, 30)) as anchor_text))"""
+    """A table of contents from the page's own lines 0, 6, 12 ...; in every third anchor one character is another."""
+    entry = r"""transform(filter(transform(split(coalesce(text, ''), '\n'), (x, i) -> struct(i as i, x as x)), e -> e.i % 6 = 0),
+      e -> struct(concat('T', e.i) as chapter_title, if(e.i % 18 = 12, concat(substr(e.x, 1, 12), '~', substr(e.x, 14, 17)), substr(e.x, 1, 30)) as anchor_text))"""
     return docs.withColumn("toc", F.expr(entry))
 
 
 def anchor_split(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _toc(spread(table(spark, sf, "documents").select("doc_id", "text"))).where("size(toc) > 0")
-    placed = F.transform("toc", lambda e: F.struct(e["chapter_title"].alias("title"), F.nullif(F.call_function("locate", F.lower(e["anchor_text"]), F.lower("text")) - 1, F.lit(-1)).alias("pos")))
-    cut = docs.select("doc_id", "text", placed.alias("p")).select("doc_id", F.posexplode(anchors.chapters_between(F.col("text"), F.col("p"))).alias("chapter_no", "c"))
+    """Chapters between anchors that are found exactly, by likeness, by their titles, or not at all; a null text is empty."""
+    docs = _toc(spread(table(spark, sf, "documents").select("doc_id", "text")))
+    placed = docs.select("doc_id", "text", anchors.toc_positions(F.col("text"), F.col("toc")).alias("p"))
+    cut = placed.select("doc_id", F.posexplode(anchors.chapters_between(F.col("text"), F.col("p"))).alias("chapter_no", "c"))
     return cut.select("doc_id", "chapter_no", "c.title", "c.text", "c.start", "c.end")
 
 
-def _damaged(spark: SparkSession, sf: str) -> DataFrame:
-    """Each page with an anchor from its middle whose 13th character is another."""
-    return _with_anchor(table(spark, sf, "documents").select("doc_id", "text").where("length(text) between 200 and 4000"))
-
-
-def _with_anchor(docs: DataFrame) -> DataFrame:
-    piece = F.expr("trim(lower(substr(text, cast(length(text) / 2 as int), 40)))")
-    return docs.withColumn("anchor", F.concat(F.substring(piece, 1, 12), F.lit("~"), F.substring(piece, 14, 40)))
-
-
 def fuzzy_anchor(spark: SparkSession, sf: str) -> DataFrame:
-    return _damaged(spark, sf).select("doc_id", "anchor", anchors.fuzzy_find(F.col("text"), F.col("anchor")).alias("pos"))
-
-
-def fuzzy_anchor_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """fuzzy_anchor over every page, of whatever length. Null, empty and blank texts have an empty anchor and no position."""
-    docs = _with_anchor(spread(table(spark, sf, "documents").select("doc_id", "text")))
-    anchor = F.when(F.trim(nn(F.col("text"))) == "", "").otherwise(F.col("anchor"))
-    return docs.withColumn("anchor", anchor).select("doc_id", "anchor", anchors.fuzzy_find(F.col("text"), F.col("anchor")).alias("pos"))
+    """Each page with an anchor from its middle whose 13th character is another, and where that is found. Null, empty and
+    blank texts have an empty anchor and no position."""
+    piece = F.expr("trim(lower(substr(text, cast(length(text) / 2 as int), 40)))")
+    anchor = F.concat(F.substring(piece, 1, 12), F.lit("~"), F.substring(piece, 14, 40))
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    docs = docs.withColumn("anchor", F.when(F.trim(nn(F.col("text"))) == "", "").otherwise(anchor))
+    return docs.select("doc_id", "anchor", anchors.fuzzy_find(F.col("text"), F.col("anchor")).alias("pos"))
 
 
 def web_anchor_split(spark: SparkSession, sf: str) -> DataFrame:
-    docs = fixture(spark, sf).select("doc_id", "md")
-    heads = F.transform(F.filter(F.split("md", "\n"), lambda x: F.startswith(x, F.lit("## "))), lambda x: F.struct(F.substring(x, 4, 100).alias("title"), F.lit("").alias("start_snippet")))
-    cut = docs.select("doc_id", F.explode(anchors.chapters_forward(F.col("md"), heads)).alias("c"))
-    return cut.select("doc_id", F.col("c.id").alias("chapter_no"), "c.title", F.length("c.text").alias("n"))
+    """Chapters of the fixture by its level-two titles and, of every second, the line below, in which every third entry's
+    title is another."""
+    entry = r"""transform(filter(transform(split(md, '\n'), (x, i) -> struct(i as i, x as x, get(split(md, '\n'), i + 1) as y)), e -> startswith(e.x, '## ')),
+      (e, k) -> struct(if(k % 3 = 2, concat('No such ', substr(e.x, 4)), substr(e.x, 4)) as title, if(k % 2 = 0, '', coalesce(e.y, '')) as start_snippet))"""
+    docs = fixture(spark, sf).select("doc_id", "md", F.expr(entry).alias("heads"))
+    cut = docs.select("doc_id", F.explode(anchors.chapters_forward(F.col("md"), F.col("heads"))).alias("c"))
+    return cut.select("doc_id", F.col("c.id").alias("chapter_no"), "c.title", "c.text")
 
 
 def toc_json(spark: SparkSession, sf: str) -> DataFrame:
     """A fenced JSON table of contents made of the fixture's headings, read back: excluded titles and invalid entries go."""
-    heads = structure.heading_table(fixture(spark, sf).select("doc_id", "md")).where("level <= 2")
+    heads = structure.heading_table(fixture(spark, sf).select("doc_id", "md"))
     made = heads.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "title"))).alias("h"))
     entries = F.transform("h", lambda h: F.to_json(F.struct(h["title"].alias("chapter_title"), F.concat(F.lit("line "), h["line_no"].cast("string")).alias("anchor_text"))))
     response = F.concat(F.lit("```json\n["), F.array_join(F.concat(entries, F.array(F.lit("7"), F.lit('{"chapter_title":"x"}'))), ","), F.lit("]\n```"))
@@ -111,13 +102,13 @@ def toc_json(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def web_toc_json(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "chapters").select("chapter_id", "chapter_no", "title").dropDuplicates(["chapter_id"])
+    rows = once(table(spark, sf, "chapters").select("chapter_id", "chapter_no", "title"), "chapter_id")
     response = F.concat(F.lit("Here it is: "), F.to_json(F.struct(F.array(F.struct(F.col("chapter_no").alias("chapter_number"), "title")).alias("chapters"))), F.lit(" end"))
     return rows.select("chapter_id", F.explode(anchors.parse_web_toc(response)).alias("c")).select("chapter_id", "c.chapter_number", "c.title")
 
 
 def refusal_filter(spark: SparkSession, sf: str) -> DataFrame:
-    calls = table(spark, sf, "translation_chunks").select("call_id", "res_text").distinct()
+    calls = once(table(spark, sf, "translation_chunks").select("call_id", "res_text"), "call_id")
     return calls.select("call_id", nn(structure.refused_to_empty(F.col("res_text"), REFUSAL_PHRASES)).alias("kept"))
 
 
@@ -126,6 +117,12 @@ def glossary_latest(spark: SparkSession, sf: str) -> DataFrame:
     return files.latest(entries, "file_name", "updated_at")
 
 
+def glossary_list(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored glossaries with a prefix, the newest first."""
+    stored = table(spark, sf, "dictionary_files").select(F.concat(F.lit("dict_"), "file_name").alias("name"), "updated_at")
+    return files.listed(stored, "name", "updated_at", "dict_h").select(F.substring("name", 6, 1000).alias("file_name"), "updated_at")
+
+
 def glossary_rows(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "dictionary_files").select("file_name", files.glossary_text(F.col("content")).alias("glossary"))
 
@@ -141,7 +138,7 @@ def glossary_delete(spark: SparkSession, sf: str) -> DataFrame:
 
 def join_context(spark: SparkSession, sf: str) -> DataFrame:
     """Each call's prompt: its chunk, its paper's name and a constant. AQE splits the skewed papers."""
-    calls = table(spark, sf, "translation_chunks").select("call_id", "paper_id", "chunk_no", "clean_markdown").distinct()
+    calls = once(table(spark, sf, "translation_chunks").select("call_id", "paper_id", "chunk_no", "clean_markdown"), "call_id")
     papers = table(spark, sf, "paper_pipeline").select("paper_id", "paper_name")
     prompt = model.filled("{{ctx}} {summary_content}\n{chunk_text}\n{glossary_content}", summary_content=F.col("paper_name"), chunk_text=F.col("clean_markdown"), glossary_content=F.lit("term: 訳"))
     return calls.join(papers, "paper_id").select("call_id", "chunk_no", prompt.alias("prompt"))
@@ -195,7 +192,7 @@ def joined_markdown(spark: SparkSession, sf: str) -> DataFrame:
 def positional_join(spark: SparkSession, sf: str) -> DataFrame:
     """Chapters with results by position, to the shorter of the two."""
     left = _chapters(spark, sf).select("doc_id", "chapter_no", "title")
-    right = chunks.exploded(fixture(spark, sf).select("doc_id", "md"), chunks.at_heading(F.col("md"), 3), "chapter").select("doc_id", "chapter_no", F.length("chapter").alias("n"))
+    right = chunks.exploded(fixture(spark, sf).select("doc_id", "md"), chunks.at_heading(F.col("md"), 3), "chapter").select("doc_id", "chapter_no", "chapter")
     return left.join(right, ["doc_id", "chapter_no"])
 
 
@@ -204,53 +201,52 @@ def chunk_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def model_stub(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "paper_pipeline").where("structured_md is not null").select("paper_id", F.substring("structured_md", 1, 200).alias("head"))
-    return model.called(docs, F.concat(F.lit("Translate:\n\n"), F.replace("head", F.lit("\n\n"), F.lit(" "))), model.stub, STUB, "answer").select("paper_id", "answer")
+    """The stub's answer to each whole text."""
+    docs = spread(table(spark, sf, "paper_pipeline").where("structured_md is not null").select("paper_id", "structured_md"))
+    return model.called(docs, F.concat(F.lit("Translate:\n\n"), F.replace("structured_md", F.lit("\n\n"), F.lit(" "))), model.stub, STUB, "answer", keys=["paper_id"]).select("paper_id", "answer")
 
 
-def model_stub_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """model_stub with the whole text in the prompt."""
-    docs = spread(table(spark, sf, "paper_pipeline").where("structured_md is not null").select("paper_id", "structured_md"))
-    return model.called(docs, F.concat(F.lit("Translate:\n\n"), F.replace("structured_md", F.lit("\n\n"), F.lit(" "))), model.stub, STUB, "answer").select("paper_id", "answer")
+# The stub gives back what follows the form feed, so whole texts go through each pipeline.
+ECHO = Options(first_delay_s=0.0, concurrency=32, chapter_concurrency=32, summary_prompt="S\f{text}", structuring_prompt="{summary_hint}\f{raw_text}", translation_prompt="{summary_content}{glossary_content}\f{chunk_text}", book_structuring_prompt="{overall_summary}\f{chapter_text}", book_summary_prompt="\f{text}", chapter_summary_prompt="C\f{text}", book_translation_prompt="{overall_summary}{chapter_summary}\f{chunk_text}", simple_translation_prompt="{chapter_summary}\f{chunk_text}", toc_prompt="TOC:{full_text}")
+WEB_ECHO = replace(ECHO, dialect="web", on_error="passthrough")
 
 
-def _named(spark: SparkSession, sf: str) -> DataFrame:
-    return fixture(spark, sf).select(F.col("doc_id").cast("string").alias("name"), F.col("md").alias("text"))
+def _keyed(spark: SparkSession, sf: str) -> DataFrame:
+    return fixture(spark, sf).select("doc_id", F.concat(F.lit("doc "), F.col("doc_id")).alias("name"), F.col("md").alias("text"))
 
 
 def pipeline_paper(spark: SparkSession, sf: str) -> DataFrame:
-    return pipelines.paper(_named(spark, sf), model.stub, STUB, "term: 訳").select("name", "outline")
+    return pipelines.paper(_keyed(spark, sf), model.echo, ECHO, "term: 訳", "doc_id").select("doc_id", "structured", "outline")
 
 
 def pipeline_web_paper(spark: SparkSession, sf: str) -> DataFrame:
-    return pipelines.paper(_named(spark, sf), model.stub, Options(dialect="web", on_error="passthrough", first_delay_s=0.0)).select("name", "outline")
+    return pipelines.paper(_keyed(spark, sf), model.echo, WEB_ECHO, key="doc_id", label=assemble.WEB_SUMMARY, hinted=False).select("doc_id", "structured", "outline")
 
 
 def toc_backend(prompt: str) -> str:
-    """A stub that answers a table of contents of the text's level-two headings, else as the plain stub."""
+    """A stub that answers a table of contents of the text's level-two headings, else as echo."""
     import json
 
     if not prompt.startswith("TOC:"):
-        return model.stub(prompt) or "-"
+        return model.echo(prompt) or "-"
     heads = [x[3:] for x in prompt.split("\n") if x.startswith("## ")]
     return json.dumps([{"chapter_title": h, "anchor_text": f"## {h}"} for h in heads] or [{"chapter_title": "All", "anchor_text": prompt[4:24]}])
 
 
 def pipeline_book(spark: SparkSession, sf: str) -> DataFrame:
-    options = Options(first_delay_s=0.0, toc_prompt="TOC:{full_text}", excluded_sections=())
-    return pipelines.book(_named(spark, sf), toc_backend, options)
+    return pipelines.book(_keyed(spark, sf), toc_backend, replace(ECHO, excluded_sections=()), key="doc_id")
 
 
-def _named_chapters(spark: SparkSession, sf: str) -> DataFrame:
-    return _chapters(spark, sf).select(F.col("doc_id").cast("string").alias("name"), "chapter_no", "title", "chapter")
+def _book_chapters(spark: SparkSession, sf: str) -> DataFrame:
+    return _chapters(spark, sf).select("doc_id", "chapter_no", "title", "chapter")
 
 
 def pipeline_web_book(spark: SparkSession, sf: str) -> DataFrame:
-    return pipelines.web_book(_named(spark, sf), _named_chapters(spark, sf), model.stub, Options(dialect="web", on_error="passthrough", first_delay_s=0.0))
+    return pipelines.web_book(table(spark, sf, "documents").select("doc_id"), _book_chapters(spark, sf), model.echo, WEB_ECHO, key="doc_id")
 
 
 def pipeline_simple_book(spark: SparkSession, sf: str) -> DataFrame:
-    return pipelines.simple_book(_named_chapters(spark, sf), model.stub, Options(dialect="web", on_error="passthrough", first_delay_s=0.0))
+    return pipelines.simple_book(_book_chapters(spark, sf), model.echo, WEB_ECHO, key="doc_id")
 
 
 def queries() -> dict:
@@ -258,7 +254,6 @@ def queries() -> dict:
         "paper_outline": paper_outline,
         "heading_table": lambda s, d: structure.heading_table(fixture(s, d).select("doc_id", "md")),
         "heading_histogram": heading_histogram,
-        "heading_histogram_whole": heading_histogram_whole,
         "extract_outline": _md(lambda c: structure.outline_hint(c).alias("hint")),
         "remove_sections": _md(lambda c: structure.remove_sections(c).alias("kept")),
         "normalize_headings": lambda s, d: fixture(s, d).select("doc_id", structure.shift_headings(_shifted()).alias("shifted")),
@@ -279,12 +274,12 @@ def queries() -> dict:
         "chunk_counts": chunk_counts,
         "anchor_split": anchor_split,
         "fuzzy_anchor": fuzzy_anchor,
-        "fuzzy_anchor_whole": fuzzy_anchor_whole,
         "web_anchor_split": web_anchor_split,
         "toc_json": toc_json,
         "web_toc_json": web_toc_json,
         "refusal_filter": refusal_filter,
         "glossary_latest": glossary_latest,
+        "glossary_list": glossary_list,
         "glossary_rows": glossary_rows,
         "glossary_compiled": glossary_compiled,
         "glossary_delete": glossary_delete,
@@ -297,7 +292,6 @@ def queries() -> dict:
         "assemble_simple_book": assemble_simple_book,
         "joined_markdown": joined_markdown,
         "model_stub": model_stub,
-        "model_stub_whole": model_stub_whole,
         "pipeline_paper": pipeline_paper,
         "pipeline_web_paper": pipeline_web_paper,
         "pipeline_book": pipeline_book,

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from foliospark.functions.text import nn, squeeze, strip
 from foliospark.operators import anchors, assemble, chunks, model, structure
 from foliospark.options import REFUSAL_PHRASES, Options
+from foliospark.session import stage
 
 # What stands for a translation whose template lacks a variable, for parts of a chapter that failed, and
 # what a chapter's call is told about its place.
@@ -91,7 +92,7 @@ def book(docs: DataFrame, backend: model.Backend, options: Options = Options(),
     two = model.called(one, model.filled(options.toc_prompt, full_text=F.col("text")), backend, options, "answer", keys=[key])
     many = replace(options, concurrency=options.chapter_concurrency)
     parts = chapters_of(two, anchors.parse_toc(F.col("answer"), options.excluded_sections), key=key)
-    parts = parts.withColumn("_part", F.concat_ws("\x1f", key, "chapter_no"))
+    parts = stage(parts.withColumn("_part", F.concat_ws("\x1f", key, "chapter_no")), "chapters")  # dear to find, and read by each call
     guide = F.concat(F.lit("This text is Chapter "), F.col("chapter_no") + 1, F.lit(" '"), nn(F.col("title")), F.lit("' of the book."))
     summed = model.called(parts, model.filled(options.summary_prompt, text=F.col("chapter"), context_guide=guide), backend, many, "summary", keys=["_part"])
     summed = summed.withColumn("hint", structure.outline_hint(F.col("summary")))
@@ -107,7 +108,8 @@ def web_chapters(docs: DataFrame, backend: model.Backend, options: Options, key:
     the whole text is one chapter."""
     asked = model.called(docs, model.filled(options.web_toc_prompt, text=F.col("text")), backend, options, "answer", keys=[key])
     found = anchors.chapters_forward(F.col("text"), anchors.parse_web_toc(F.col("answer")), kinds=True)
-    return asked.select(key, F.explode(found).alias("c")).select(key, F.col("c.id").alias("chapter_no"), "c.title", "c.section_type", F.col("c.text").alias("chapter"))
+    cut = asked.select(key, F.explode(found).alias("c")).select(key, F.col("c.id").alias("chapter_no"), "c.title", "c.section_type", F.col("c.text").alias("chapter"))
+    return stage(cut, "chapters")  # dear to find, and read by each call
 
 
 def web_book(docs: DataFrame, chapters: DataFrame | None, backend: model.Backend, options: Options = Options(dialect="web", on_error="passthrough"), glossary: str = "", key: str = "name") -> DataFrame:

@@ -85,6 +85,11 @@ def latest(files: DataFrame, key: str, at: str) -> DataFrame:
     return last.select(key, *(F.col(f"x.{c}").alias(c) for c in (at, *rest)))
 
 
+def listed(files: DataFrame, key: str, at: str, prefix: str = "") -> DataFrame:
+    """The files whose key begins with a prefix, the newest first."""
+    return files.where(F.startswith(key, F.lit(prefix))).orderBy(F.desc_nulls_last(at), key)
+
+
 def upserted(stored: DataFrame, changed: DataFrame, key: str, at: str) -> DataFrame:
     return latest(stored.unionByName(changed), key, at)
 

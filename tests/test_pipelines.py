@@ -184,6 +184,10 @@ def test_command_line_and_progress(spark, tmp_path):
     main(["P", f'"{tmp_path}/in"', str(tmp_path / "out"), "--glossary", str(tmp_path / "g.csv")])
     assert sorted(os.listdir(tmp_path / "out")) == ["a_output.txt", "a_structured_eng.md"] and (tmp_path / "out" / "a_output.txt").read_text().startswith("- a\n")
     assert set(MODES.values()) == {"paper", "book"}
+    with pytest.raises(SystemExit):
+        main(["p", str(tmp_path / "none"), str(tmp_path / "out")])
+    store = spark.createDataFrame([("dict_a", 1), ("other", 9), ("dict_b", 5), ("dict_c", None)], "name string, at long")
+    assert [r.name for r in files.listed(store, "name", "at", "dict_").collect()] == ["dict_b", "dict_a", "dict_c"]
     df, seen = files.observed(files.pasted(spark, "x y"), "read")
     assert df.collect()[0].name == "Direct Input" and seen.get == {"rows": 1, "characters": 3, "blank": 0}
     assert files.pasted(spark, " ").count() == 0

@@ -36,7 +36,7 @@ def brute(text, anchor):
 
 def test_fuzzy_anchors_of_pages_of_any_length(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    got = {r.doc_id: r for r in catalog.queries()["fuzzy_anchor_whole"](spark, sf).collect()}
+    got = {r.doc_id: r for r in catalog.queries()["fuzzy_anchor"](spark, sf).collect()}
     assert got.keys() == texts.keys() and len(texts[1]) > 4000
     assert {k: r.pos for k, r in got.items()} == {k: brute(texts[k], r.anchor) for k, r in got.items()}
     assert got[1].pos is not None and got[2].pos is not None and [got[k].pos for k in (4, 5)] == [None, None]
@@ -45,12 +45,12 @@ def test_fuzzy_anchors_of_pages_of_any_length(spark, sf):
 def test_a_prompt_holds_the_whole_text(spark, tmp_path):
     rows = [(1, "# A\n\n" + TEXT * 60 + "end"), (2, "short"), (3, None)]
     spark.createDataFrame(rows, "paper_id long, structured_md string").coalesce(1).write.parquet(f"{tmp_path}/paper_pipeline.parquet")
-    got = {r.paper_id: r.answer for r in catalog.queries()["model_stub_whole"](spark, str(tmp_path)).collect()}
+    got = {r.paper_id: r.answer for r in catalog.queries()["model_stub"](spark, str(tmp_path)).collect()}
     assert got == {k: t.replace("\n\n", " ").upper().strip() for k, t in rows if t is not None}
 
 
 def test_headings_of_every_level_and_language(spark, sf):
     pages = catalog.fixture(spark, sf, "lang").select("md", "lang").collect()
     want = Counter((len(m[1]), r.lang) for r in pages for line in r.md.split("\n") if (m := re.match(r"(#{1,10})\s", line.strip())))
-    got = {(r.level, r.lang): r.n for r in catalog.queries()["heading_histogram_whole"](spark, sf).collect()}
+    got = {(r.level, r.lang): r.n for r in catalog.queries()["heading_histogram"](spark, sf).collect()}
     assert got == want and {level for level, _ in got} == {1, 2, 3}
