@@ -220,6 +220,10 @@ def pipeline_paper(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pipeline_web_paper(spark: SparkSession, sf: str) -> DataFrame:
+    return pipelines.paper(_keyed(spark, sf), model.echo, WEB_ECHO, key="doc_id").select("doc_id", "structured", "outline")
+
+
+def pipeline_archived_web_paper(spark: SparkSession, sf: str) -> DataFrame:
     return pipelines.paper(_keyed(spark, sf), model.echo, WEB_ECHO, key="doc_id", label=assemble.WEB_SUMMARY, hinted=False).select("doc_id", "structured", "outline")
 
 
@@ -294,6 +298,7 @@ def queries() -> dict:
         "model_stub": model_stub,
         "pipeline_paper": pipeline_paper,
         "pipeline_web_paper": pipeline_web_paper,
+        "pipeline_archived_web_paper": pipeline_archived_web_paper,
         "pipeline_book": pipeline_book,
         "pipeline_web_book": pipeline_web_book,
         "pipeline_simple_book": pipeline_simple_book,

@@ -169,10 +169,10 @@ def indented(x: str, by: int) -> str:
     return f"'{' ' * by}' || replace({x}, chr(10), chr(10) || '{' ' * by}')"
 
 
-def paper_pipeline(web: bool) -> str:
-    """The whole paper pipeline with the echoing stub: python with sections removed, or the archived web one."""
+def paper_pipeline(web: bool, archived: bool = False) -> str:
+    """The whole paper pipeline with the echoing stub: python or web with sections removed, or the archived web one."""
     start = lines(echoed("md0"), "web" if web else "python").replace("with ", "with recursive ", 1)
-    kept = ", kept0 as (select doc_id, md from md)" if web else SKIP + f", kept0 as (select md.doc_id, coalesce(k.md, '') as md from md left join (select doc_id, {strip('string_agg(line, chr(10) order by n) filter (keep)')} as md from kp group by doc_id) k using (doc_id))"
+    kept = ", kept0 as (select doc_id, md from md)" if archived else SKIP + f", kept0 as (select md.doc_id, coalesce(k.md, '') as md from md left join (select doc_id, {strip('string_agg(line, chr(10) order by n) filter (keep)')} as md from kp group by doc_id) k using (doc_id))"
     answer = f"case when t = '' then chr(10) || chr(10) || '(翻訳エラー)' else {echoed('t')} end" if web else echoed("t")
     where = "true" if web else f"not {HEADINGS_ONLY}"
     out = start + kept + hierarchy(4000, "kept0", "md")
@@ -188,7 +188,7 @@ sm as (select doc_id, structured as md from pp), """
     title = "case when starts_with(kl, '# ') then trim(substr(kl, 3)) else 'doc ' || doc_id end" if web else f"case when starts_with({strip('kl')}, '# ') then replace({strip('kl')}, '# ', '') else 'doc ' || doc_id end"
     body = f"case when starts_with(tl, '# ') then {strip('substr(tmd, length(tl) + 2)')} else tmd end" if web else strip(f"case when starts_with({strip('tl')}, '# ') then substr(tmd, length(tl) + 2) else tmd end")
     out += f"bd as (select doc_id, structured, {title} as title, {body} as md from pp){outlined('sm', 'md', 's_')}{outlined('bd', 'md', 'b_')}"
-    label = "要約 (Summary)" if web else "レジュメ (Resume)"
+    label = "要約 (Summary)" if archived else "レジュメ (Resume)"
     part = lambda x, by: indented(x, by) if web else f"case when {x} = '' then '' else {indented(x, by)} end"
     return out + f" select doc_id, structured, '- ' || title || chr(10) || '  - {label}' || chr(10) || {part('so.outline', 4)} || chr(10) || {part('bo.outline', 2)} as outline from bd join s_o so using (doc_id) join b_o bo using (doc_id)"
 
@@ -235,6 +235,7 @@ SQL: dict[str, str] = {
     "web_anchor_split": WEB_ANCHORS,
     "pipeline_paper": paper_pipeline(False),
     "pipeline_web_paper": paper_pipeline(True),
+    "pipeline_archived_web_paper": paper_pipeline(True, True),
     "pipeline_web_book": WEB_BOOK,
     "pipeline_simple_book": SIMPLE_BOOK,
     "heading_table": f"{lines(PLAIN)} select doc_id, n::int as line_no, level::int as level, {strip('title')} as title from hd where level is not null",
