@@ -104,8 +104,22 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(items(spark, sf_dir), ["src", "row_id"], "text").where("piece_no = 1").select("src", "row_id").distinct()
 
 
-QUERIES = {"p6_found": p6_found, "p6_pieces": p6_pieces}
+def p6_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each item that was cut: its pieces joined again without their overlaps, and whether all keep the limit and begin
+    with the end of the one before. The pieces of one item, no more, meet in a row."""
+    ordered = F.array_sort(F.collect_list(F.struct("piece_no", "piece")))
+    joined = p6_pieces(spark, sf_dir).groupBy("src", "row_id").agg(F.transform(ordered, lambda x: x["piece"]).alias("p"))
+    own = F.transform("p", lambda x, i: F.when(i == 0, x).otherwise(F.substring(x, OVERLAP + 1, LIMIT)))
+    kept = F.forall("p", lambda x: F.length(x) <= LIMIT)
+    tails = F.zip_with(F.slice("p", 1, F.size("p") - 1), F.slice("p", 2, F.size("p")), lambda a, b: F.right(a, F.lit(OVERLAP)) == F.left(b, F.lit(OVERLAP)))
+    return joined.select("src", "row_id", F.array_join(own, "").alias("text"), kept.alias("within_limit"), F.forall(tails, lambda x: x).alias("overlapping"))
+
+
+QUERIES = {"p6_found": p6_found, "p6_pieces": p6_pieces, "p6_rejoined": p6_rejoined}
 SQL = {
+    "p6_rejoined": """select distinct src, row_id, t as text, true as within_limit, true as overlapping from (
+  select 'chapters' as src, chapter_id as row_id, raw_text as t from chapters
+  union all select 'paper_pipeline', paper_id, structured_md from paper_pipeline) where length(t) > 4000""",
     "p6_found": """select distinct src, row_id from (
   select 'chapters' as src, chapter_id as row_id, raw_text as t from chapters
   union all select 'paper_pipeline', paper_id, structured_md from paper_pipeline) where length(t) > 4000"""
