@@ -113,8 +113,7 @@ def called(df: DataFrame, prompt: Column, backend: Backend, options: Options, ou
                 yield finished(*waiting)
 
     spare = F.col(fallback) if fallback and options.on_error in ("passthrough", "source") else F.lit(None)
-    asked = df.select(*(keys or df.columns), prompt.alias("_prompt"), spare.cast("string").alias("_fallback")).drop(out)
-    asked = asked.repartition(tasks) if asked.rdd.getNumPartitions() > tasks else asked
+    asked = df.select(*(keys or df.columns), prompt.alias("_prompt"), spare.cast("string").alias("_fallback")).drop(out).repartition(tasks)
     target = asked.drop("_prompt", "_fallback").withColumn(out, F.lit("")).schema
     answers = stage(asked.mapInArrow(run, target), f"model-{out}")
     return df.drop(out).join(answers, keys) if keys else answers
