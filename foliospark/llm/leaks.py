@@ -294,7 +294,8 @@ def may_go_on(text: np.ndarray, layout: Layout, begin: np.ndarray, place: np.nda
         length = layout.length[rows]
         g3, g5 = ([gram(page, layout.first + o, n) for o in range(5)] for n in (3, 5))
         own = [gram(text, c + o, n) for n in (3, 5) for o in range(5)]
-        hit = (length > 0) & (g3[0][rows] == own[0][:, None])
+        same = (length > 0) & (g3[0][rows] == own[0][:, None])
+        hit = same & ((length < AGREE) | (gram(page, layout.first, AGREE)[rows] == gram(text, c, AGREE)[:, None]))
         for j in range(3):
             for a, b in SLIPS:
                 hit |= (g5[j + b][rows] == own[5 + j + a][:, None]) & (length >= j + b + 5)
@@ -302,6 +303,18 @@ def may_go_on(text: np.ndarray, layout: Layout, begin: np.ndarray, place: np.nda
             two = first[(text[c + j] & 127)[:, None], (page[np.minimum(layout.first + j, len(page) - 1)] & 127)[rows]]
             for a, b in TWOS:
                 hit |= two & (length > j) & ((g3[j + b][rows] == own[j + a][:, None]) | (length < j + b + 3))
+        at_c, at_row = np.nonzero(same & ~hit)  # the first three agree: a slip or a confusion in the next ones?
+        if len(at_c):
+            x, r = c[at_c], rows[at_c, at_row]
+            begin_of, size = layout.first[r], layout.length[r]
+            later = np.zeros(len(x), bool)
+            for j in range(3, AGREE):
+                for a, b in SLIPS:
+                    later |= (gram(text, x + j + a, 5) == gram(page, begin_of + j + b, 5)) | (size < j + b + 5) & (gram(text, x + j + a, 3) == gram(page, begin_of + j + b, 3))
+                two = first[text[x + j] & 127, page[np.minimum(begin_of + j, len(page) - 1)] & 127]
+                for a, b in TWOS:
+                    later |= two & ((gram(text, x + j + a, 3) == gram(page, begin_of + j + b, 3)) | (size < j + b + 3))
+            hit[at_c[later], at_row[later]] = True
         go[near] = found | hit.any(axis=1)
     on[at] = go
     return out, on
