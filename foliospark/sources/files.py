@@ -11,13 +11,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliospark.functions.text import join, nn, strip
+from foliospark.session import stage
 
 
 def read_documents(spark: SparkSession, path: str, dialect: str = "python") -> DataFrame:
-    """(name, text) of each UTF-8 text file; the name without its extension, line ends \\n in the python dialect."""
+    """(name, text) of each UTF-8 text file; in the python dialect the name without its extension, unless files differ by
+    that only, and line ends \\n."""
     raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
-    text = F.regexp_replace("value", "\r\n?", "\n") if dialect == "python" else F.col("value")
-    return raw.select((F.regexp_replace("file", r"\.[^.]*$", "") if dialect == "python" else F.col("file")).alias("name"), text.alias("text"))
+    if dialect != "python":
+        return raw.select(F.col("file").alias("name"), F.col("value").alias("text"))
+    named = raw.withColumn("stem", F.regexp_replace("file", r"\.[^.]*$", ""))
+    repeated = stage(named.groupBy("stem").agg(F.count("*").alias("_n")).where("_n > 1"), "stems")  # few, and small beside texts
+    both = named.join(repeated, "stem", "left")
+    return both.select(F.when(F.col("_n").isNull(), F.col("stem")).otherwise(F.col("file")).alias("name"), F.regexp_replace("value", "\r\n?", "\n").alias("text"))
 
 
 def pasted(spark: SparkSession, text: str, name: str = "Direct Input") -> DataFrame:

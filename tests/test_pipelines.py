@@ -150,8 +150,12 @@ def test_files(spark, tmp_path):
     assert [tuple(r) for r in docs.collect()] == [("a.b", "x\ny\nz")]
     files.write_documents(docs, str(tmp_path / "out"))
     assert (tmp_path / "out" / "a.b_output.txt").read_text() == "x\ny\nz" and os.listdir(tmp_path / "out") == ["a.b_output.txt"]
+    for name in ("same.txt", "same.md"):
+        (tmp_path / "in" / name).write_text(name)
+    files.write_documents(files.read_documents(spark, str(tmp_path / "in")), str(tmp_path / "out2"))
+    assert sorted(os.listdir(tmp_path / "out2")) == ["a.b_output.txt", "same.md_output.txt", "same.txt_output.txt"]
     files.write_partitioned(docs, str(tmp_path / "parts"), "name", "text")
-    assert spark.read.text(str(tmp_path / "parts")).count() == 3
+    assert spark.read.text(str(tmp_path / "parts")).where("name = 'a.b'").count() == 3
 
 
 def test_glossary(spark):
