@@ -18,12 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm import corpus, lexicon
-from foliospark.session import spread, table
+from foliospark.session import spread, stage, table
 
-#: Text pairs that the lexicon is fitted on: a bound, whatever the corpus.
-SAMPLE = 600
-#: Characters of the longest texts in the sample.
-LONGEST = 60_000
 #: Cost of leaving mass to the null sentence, sharpness of the plan, scaling rounds.
 NULL_COST, EPSILON, ROUNDS = 0.66, 0.035, 200
 #: Part of the smaller sentence that a link carries, and least similarity of a link.
@@ -147,15 +143,19 @@ def groups(pairs: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
     return out
 
 
-def sample(df: DataFrame, key: str, source: str, target: str, size: int = SAMPLE, longest: int = LONGEST) -> list[tuple[str, str]]:
+def sample(df: DataFrame, key: str, source: str, target: str, size: int, longest: int) -> list[tuple[str, str]]:
     """At most `size` text pairs, for the fit, of texts up to `longest` characters."""
     rows = corpus.sample(df, key, {source: longest, target: longest}, size)
     return list(zip(rows.column(source).to_pylist(), rows.column(target).to_pylist()))
 
 
 def align(df: DataFrame, key: str, source: str, target: str, words: lexicon.Lexicon | None = None) -> DataFrame:
-    """(key, src_no, tgt_no, kind) of each link. Narrow: both texts of a document are in one row."""
-    words = lexicon.fit(sample(df, key, source, target)) if words is None else words
+    """(key, src_no, tgt_no, kind) of each link. Narrow: both texts of a document are in one row. The lexicon, unless given,
+    is fitted on all pairs, which are written once as they are read several times."""
+    both = df.where(F.col(source).isNotNull() & F.col(target).isNotNull()).select(F.col(key), F.col(source), F.col(target))
+    if words is None:
+        both = stage(both, "texts")
+        words = lexicon.fit_all(both, source, target)
     shared = df.sparkSession.sparkContext.broadcast(words)
     kind = df.schema[key].dataType.simpleString()
 
@@ -172,8 +172,7 @@ def align(df: DataFrame, key: str, source: str, target: str, words: lexicon.Lexi
                     [part.column(0).take(pa.array(at, pa.int64())), pa.array(src, pa.int32()), pa.array(tgt, pa.int32()), pa.array(kinds, pa.string())], names=[key, "src_no", "tgt_no", "kind"]
                 )
 
-    both = df.where(F.col(source).isNotNull() & F.col(target).isNotNull())
-    return both.select(F.col(key), F.col(source), F.col(target)).mapInArrow(run, f"`{key}` {kind}, src_no int, tgt_no int, kind string")
+    return both.mapInArrow(run, f"`{key}` {kind}, src_no int, tgt_no int, kind string")
 
 
 def done(spark: SparkSession, sf_dir: str) -> DataFrame:
