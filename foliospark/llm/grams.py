@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 
@@ -37,15 +37,28 @@ def hashes(s: str) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out), np.concatenate(at)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
+#: The n-grams of some texts, in order, and how often each occurs.
+Counts = tuple[np.ndarray, np.ndarray]
+
+
+def counted(texts: Iterable[str]) -> Counts:
+    parts = [hashes(folded(t))[0] for t in texts if t]
+    return np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def summed(parts: Sequence[Counts]) -> Counts:
+    every, where = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+    n = np.zeros(len(every), np.int64)
+    np.add.at(n, where, np.concatenate([n for _, n in parts]))
+    return every, n
+
+
 class Bayes:
-    """Naive Bayes of the classes' texts; n-grams met fewer than `least` times in all are left out."""
+    """Naive Bayes of the classes' texts, or of their counts; n-grams met fewer than `least` times in all are left out."""
 
-    def __init__(self, texts: dict[str, Sequence[str]], least: int = 1):
+    def __init__(self, texts: dict[str, Sequence[str] | Counts], least: int = 1):
         self.classes = list(texts)
-        counts = []
-        for c in self.classes:
-            parts = [hashes(folded(t))[0] for t in texts[c] if t]
-            counts.append(np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+        counts = [t if isinstance(t, tuple) else counted(t) for t in texts.values()]
         every, where = np.unique(np.concatenate([g for g, _ in counts]), return_inverse=True)
         share, total = np.zeros((len(every), len(counts)), np.float64), np.zeros(len(every))
         at = 0

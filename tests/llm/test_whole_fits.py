@@ -5,7 +5,7 @@ import random
 import pytest
 
 pytest.importorskip("foliospark.llm")
-from foliospark.llm import align, lexicon  # noqa: E402
+from foliospark.llm import align, grams, lexicon, pairs  # noqa: E402
 
 NOUNS = {"bridge": "橋", "market": "市場", "harvest": "収穫", "ritual": "儀礼", "archive": "文書館", "museum": "博物館", "river": "河川", "kitchen": "台所"}
 LONG = {"lighthouse": "灯台", "railway": "鉄道", "teacher": "教師", "forest": "森林"}
@@ -47,3 +47,17 @@ def test_words_of_long_texts_alone_link_sentences(spark, texts):
     df = table(spark, [*texts, last])
     got = {(r.src_no, r.tgt_no) for r in align.align(df, "paper_id", "en", "ja").where(f"paper_id = {len(texts)}").collect()}
     assert got == {(0, 1), (1, 0)}
+
+
+def test_the_judge_is_that_of_all_calls(spark, texts):
+    """Of long calls too: sentences, ends and the language of most answers."""
+    calls = [*texts, *(("A prompt of the village archive.", f"Les gens du village se souviennent du marché et de la rivière {k}.") for k in range(5))]
+    got, wanted = pairs.judge_all(table(spark, calls).repartition(5), "en", "ja"), pairs.Judge([*calls, (None, "x。"), ("A b.", None), ("", "")])
+    assert got.wanted == wanted.wanted == "ja" and got.ends.whole == wanted.ends.whole and got.ends.cut == wanted.ends.cut and got.ends.n == wanted.ends.n
+    for c in pairs.DECLINED:
+        a, b = got.kinds[c].bayes, wanted.kinds[c].bayes
+        assert got.kinds[c].sure == wanted.kinds[c].sure and (a.grams == b.grams).all() and (a.ratio == b.ratio).all()
+    known = set(got.kinds["en"].bayes.grams.tolist())
+    assert set(grams.counted(["lighthouse"])[0].tolist()) - set(grams.counted(["l", "e"])[0].tolist()) & known
+    assert got.words.words.keys() == wanted.words.words.keys() >= {"lighthouse", "bridge"}
+    assert pairs.defects(table(spark, []).limit(0), "paper_id", "en", "ja").count() == 0
