@@ -1,7 +1,7 @@
 """Template residue and error-page text: unfilled placeholders, filler, error messages, notices that ask for scripts.
 
 A character n-gram model is fitted for each kind of residue, from sentences made of the parts below and then from what
-they find in a bounded sample of the pages, and one for natural prose, from the rest of that sample. All models share a
+they find in the pages, and one for natural prose, from the rest of all pages. All models share a
 background, so n-grams that none of them has say nothing: what is merely unfamiliar is no residue. Windows over each
 whole text give the likelihood ratio of residue to prose; windows in favour of residue are joined to spans, and a page
 is residue if its spans cover enough characters, so that an article that quotes a few such words isn't. What stands in
@@ -15,7 +15,7 @@ from __future__ import annotations
 import builtins
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from http import HTTPStatus
 
@@ -24,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import corpus
 from foliospark.llm.grams import Bayes
 from foliospark.session import spread, table
 
-#: Pages that the models are fitted on, and characters of the longest: bounds, whatever the corpus.
-SAMPLE, LONGEST = 3000, 20_000
+#: Characters of a long page, and slots that are held before they are counted.
+LONGEST, HELD = 20_000, 1_000_000
+#: Rounds of the fit.
+ROUNDS = 3
 #: Length of n-grams, slots of the hashed tables, characters in a window, and the mean log-ratio that makes it residue.
 N, SLOTS, WINDOW, RATIO = 5, 1 << 18, 20, 0.8
 #: Part of the background in each model, and the most that one n-gram says, in nats.
@@ -136,45 +137,110 @@ def log_ratios(counts: list[np.ndarray], prose: np.ndarray) -> np.ndarray:
     """Log-ratios of each kind of residue to prose. All are mixed with one background, in which each has an equal part:
     slots that none has give zero."""
     damped = [np.where(c > 0, 1 + np.log1p(c), 0.0) for c in counts]
-    shares = [c / max(1.0, c.sum()) for c in (*damped, prose)]
+    shares = [(c / max(1.0, c.sum())).astype(np.float32) for c in (*damped, prose)]
     back = (0.5 * sum(shares[:-1]) / len(counts) + 0.5 * shares[-1]) * BACKGROUND + 1e-12
     plain = np.log((1 - BACKGROUND) * shares[-1] + back)
     return np.array([np.clip(np.log((1 - BACKGROUND) * s + back) - plain, -MOST, MOST) for s in shares[:-1]], np.float32)
 
 
-def fit(prose: list[str], rounds: int = 3) -> np.ndarray:
-    """Log-ratios of residue to prose, one row per kind, one column per slot.
-
-    The sample holds residue itself: at first n-grams of the seeds that few pages have don't count as prose; then what
-    the models find in a page is left out of prose, and its longer spans, to the line's end, are residue of their kind."""
+class Tally:
+    """Counts of slots in pages, for one round of the fit: of prose, of pages that have each slot of the seeds in the first
+    round, when there is no table yet, and of residue of each kind in the others."""
+
+    def __init__(self, table: np.ndarray | None, seeded: np.ndarray):
+        self.table, self.seeded, self.texts, self.size = table, seeded, 0, 0
+        self.plain, self.pages = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
+        self.taught = np.zeros((len(KINDS), SLOTS), np.int64)
+        self.held: list[np.ndarray] = []
+
+    def add(self, text: str | None) -> None:
+        if not text:
+            return
+        self.texts += 1
+        t = folded(text)
+        s = slots(t)
+        if self.table is None:
+            self.pages[np.unique(s[self.seeded[s]])] += 1
+        elif (found := spans(t, self.table, s))[0]:
+            keep = np.ones(len(s), bool)
+            for (a, b), k in zip(*found):
+                keep[max(0, a - N) : b] = False
+                if b - a >= TEACHES:
+                    np.add.at(self.taught[k], s[a : max(a, b - N + 1)], 1)
+            s = s[keep]
+        self.held.append(s)
+        self.size += len(s)
+        if self.size > HELD:
+            self.count()
+
+    def count(self) -> None:
+        if self.held:
+            self.plain += np.bincount(np.concatenate(self.held), minlength=SLOTS)
+            self.held.clear()
+            self.size = 0
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """(kind, slot, n) of what isn't zero."""
+        self.count()
+        for kind, n in enumerate((np.array([self.texts]), self.pages, self.plain, *self.taught)):
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(at), pa.int32()), pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))], names=["kind", "slot", "n"])
+
+
+def fit_rounds(tallied: Callable[[np.ndarray | None, np.ndarray], pa.Table], rounds: int) -> np.ndarray:
+    """Log-ratios of residue to prose, one row per kind and one of the greatest, one column per slot, from the summed
+    tallies of each round.
+
+    The pages hold residue itself: at first n-grams of the seeds that few pages have don't count as prose; then what the
+    models find in a page is left out of prose, and its longer spans, to the line's end, are residue of their kind."""
     counts = [counted(t) for t in seeds().values()]
-    texts, table = [folded(t) for t in prose if t], None
     seeded = sum(c > 0 for c in counts) > 0
-    every = [slots(t).astype(np.int32) for t in texts]
-    add = lambda parts: np.bincount(np.concatenate([*parts, np.zeros(0, np.int32)]), minlength=SLOTS).astype(np.float32)
+    table = None
     for _ in range(rounds):
-        pages = np.zeros(SLOTS, np.int32)
-        left: list[np.ndarray] = []
-        taught: list[list[np.ndarray]] = [[] for _ in counts]
-        for t, s in zip(texts, every):
-            if table is None:
-                pages[np.unique(s)] += 1
-            elif len(s) and (found := spans(t, table, s))[0]:
-                keep = np.ones(len(s), bool)
-                for (a, b), k in zip(*found):
-                    keep[max(0, a - N) : b] = False
-                    if b - a >= TEACHES:
-                        taught[k].append(s[a : max(a, b - N + 1)])
-                s = s[keep]
-            left.append(s)
-        plain = add(left)
-        more = [c + add(x) for c, x in zip(counts, taught)]
+        total = np.zeros((3 + len(KINDS), SLOTS), np.int64)
+        rows = tallied(table, seeded)
+        np.add.at(total, (rows.column("kind").to_numpy(), rows.column("slot").to_numpy()), rows.column("n").to_numpy())
+        plain = total[2].astype(np.float64)
         if table is None:  # what seeds have in common with few pages may be residue in them
-            plain[seeded & (pages <= max(2, RARE * len(texts)))] = 0
-        table = log_ratios(more, plain)
+            plain[seeded & (total[1] <= max(2, RARE * total[0, 0]))] = 0
+        table = log_ratios([c + x for c, x in zip(counts, total[3:])], plain)
+        table = np.vstack([table, table.max(axis=0)])
     return table
 
 
+def fit(prose: list[str], rounds: int = ROUNDS) -> np.ndarray:
+    """The models of a list of pages."""
+
+    def tallied(table: np.ndarray | None, seeded: np.ndarray) -> pa.Table:
+        tally = Tally(table, seeded)
+        for t in prose:
+            tally.add(t)
+        return pa.Table.from_batches(tally.rows())
+
+    return fit_rounds(tallied, rounds)
+
+
+def fit_all(df: DataFrame, text: str, rounds: int = ROUNDS) -> np.ndarray:
+    """The models of all pages of df, the same as `fit` of one list of them. Each round reads df once; what comes to the
+    driver are the sums of fixed tables."""
+
+    def tallied(table: np.ndarray | None, seeded: np.ndarray) -> pa.Table:
+        shared = df.sparkSession.sparkContext.broadcast((table, seeded))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tally = Tally(*shared.value)
+            for batch in batches:
+                for t in batch.column(0):
+                    tally.add(t.as_py())
+            yield from tally.rows()
+
+        total = df.select(text).mapInArrow(run, "kind int, slot int, n bigint").groupBy("kind", "slot").agg(F.sum("n").alias("n")).toArrow()
+        shared.destroy()
+        return total
+
+    return fit_rounds(tallied, rounds)
+
+
 @cache
 def names() -> Bayes:
     """Names of fields against prose, as both stand in brackets."""
@@ -204,13 +270,18 @@ def spans(s: str, table: np.ndarray, g: np.ndarray | None = None) -> tuple[list[
     g = slots(s) if g is None else g
     if not len(g):
         return [], []
-    scores = table[:, g]
-    sums = np.zeros((len(KINDS), len(g) + 1), np.float32)
-    np.cumsum(scores, axis=1, out=sums[:, 1:])
     half = WINDOW // 2
     at = np.arange(len(g))
     low, high = np.maximum(at - half, 0), np.minimum(at + half, len(g))
-    means = (sums[:, high] - sums[:, low]) / (high - low)
+
+    def windows(scores: np.ndarray) -> np.ndarray:
+        sums = np.zeros((*scores.shape[:-1], len(g) + 1))
+        np.cumsum(scores, axis=-1, out=sums[..., 1:], dtype=np.float64)
+        return (sums[..., high] - sums[..., low]) / (high - low)
+
+    if not (windows(table[-1][g]) > RATIO - 1e-6).any():  # no kind says more than the greatest
+        return [], []
+    means = windows(table[:-1][:, g])
     best = means.max(axis=0)
     hit = best > RATIO
     if not hit.any():
@@ -238,14 +309,10 @@ def judge(text: str | None, table: np.ndarray) -> tuple[str | None, int, list[tu
     return None, cover, found
 
 
-def sample(df: DataFrame, key: str, text: str) -> list[str]:
-    """At most SAMPLE texts of up to LONGEST characters, for the fit only."""
-    return corpus.sample(df, key, {text: LONGEST}, SAMPLE).column(text).to_pylist()
-
-
 def residue(df: DataFrame, key: str, text: str = "text", table: np.ndarray | None = None) -> DataFrame:
-    """(key, kind, covered, share, spans) of each row. Narrow; the fitted tables, of fixed size, are broadcast."""
-    shared = df.sparkSession.sparkContext.broadcast(fit(sample(df, key, text)) if table is None else table)
+    """(key, kind, covered, share, spans) of each row. Narrow; the tables, fitted on all rows unless given and of fixed
+    size, are broadcast."""
+    shared = df.sparkSession.sparkContext.broadcast(fit_all(df, text) if table is None else table)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ import random
 import pytest
 
 pytest.importorskip("foliospark.llm")
-from foliospark.llm import align, grams, lexicon, pairs  # noqa: E402
+from foliospark.llm import align, grams, lexicon, pairs, residue  # noqa: E402
 
 NOUNS = {"bridge": "橋", "market": "市場", "harvest": "収穫", "ritual": "儀礼", "archive": "文書館", "museum": "博物館", "river": "河川", "kitchen": "台所"}
 LONG = {"lighthouse": "灯台", "railway": "鉄道", "teacher": "教師", "forest": "森林"}
@@ -61,3 +61,18 @@ def test_the_judge_is_that_of_all_calls(spark, texts):
     assert set(grams.counted(["lighthouse"])[0].tolist()) - set(grams.counted(["l", "e"])[0].tolist()) & known
     assert got.words.words.keys() == wanted.words.words.keys() >= {"lighthouse", "bridge"}
     assert pairs.defects(table(spark, []).limit(0), "paper_id", "en", "ja").count() == 0
+
+
+def test_the_models_of_residue_are_those_of_all_pages(spark):
+    """Residue that long pages alone teach is found in others."""
+    r = random.Random(4)
+    prose = [" ".join(r.choice("the mill of this town was sold by its owner on Monday for seven shillings".split()) for _ in range(60)) for _ in range(3100)]
+    unseen = "Please enable JavaScript to view this page. Qwyx vbrk zzorp ghlim wexu bnarl otyp dresk."
+    pages = [*prose, *(" ".join(prose[k : k + 80]) + "\n" + unseen for k in range(3)), None, ""]
+    assert max(len(t or "") for t in pages) > residue.LONGEST
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(pages)], "doc_id long, text string").repartition(5)
+    got, wanted = residue.fit_all(df, "text"), residue.fit(pages)
+    assert (got == wanted).all()
+    seen = residue.slots(residue.folded(prose[0])), residue.slots(residue.folded("vbrk zzorp ghlim"))
+    assert got[-1][seen[0]].mean() < -1 and (got[:, seen[1]] != 0).any()
+    assert residue.residue(df.limit(0), "doc_id").count() == 0
